@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, hash_forest, packing, token_matrix
+from . import compression_quality, exact_topk, hash_forest, language_id, packing, token_matrix, toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_compression_quality": compression_quality.op4_compression_quality,
     "op5_hash_prefix_forest": hash_forest.op5_hash_prefix_forest,
+    "op6_language_id": language_id.op6_language_id,
     "op7_token_matrix": token_matrix.op7_token_matrix,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_toxic_segments": toxic_segments.op9_toxic_segments,
     "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 
