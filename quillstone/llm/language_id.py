@@ -149,8 +149,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MA
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; all its columns stay as they are."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """``docs`` with __lang and __score; all its columns stay as they are."""
+    names = docs.columns
     at_text = names.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +163,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     langs, score, lettered = ["und"] * (end - first), np.zeros(end - first), np.zeros(end - first, bool)
                 said = [x if ok else "und" for x, ok in zip(langs, lettered, strict=True)]
                 kept = [c.slice(first, end - first) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(said, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=[*names, "__lang", "__score"])
 
-    plain = docs.select(*names)
-    return plain.mapInArrow(predict, T.StructType([*plain.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = is_held_out(F.col("doc_id"), 5, 0)
     model = learn(docs.where(~held_out))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
