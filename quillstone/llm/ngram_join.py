@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, mix64, staged, table, text_slices, word_spans
@@ -40,6 +40,8 @@ WORDS = 5
 HOT_SHINGLES = 30_000
 #: A worker reports a shingle as frequent once so many of the texts it has just read hold it.
 LOCAL_COUNT, FLUSH = 12, 3_000_000
+#: Classes that a worker remembers, lest it repeats itself for copies.
+SEEN_CLASSES = 500_000
 #: Members of a tile that are compared in one piece.
 TILE_ROWS = 2048
 #: Classes up to which their representatives are looked up by a broadcast.
@@ -105,25 +107,33 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.nd
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: documents (doc_id, cls, n) and locally frequent shingles (shingle, k)."""
+    """Rows of two kinds: documents (doc_id, cls, n, sig) and locally frequent shingles (shingle, k).
+
+    A class's bitmap stands in the first of its rows that a task meets.
+    """
+    names = ["doc_id", "cls", "n", "sig", "shingle", "k"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
+        seen: set[int] = set()
 
         def frequent() -> pa.RecordBatch:
             key, k = np.unique(np.concatenate(held), return_counts=True)
             key, k = key[k >= LOCAL_COUNT].view(np.int64), k[k >= LOCAL_COUNT]
             none = pa.nulls(len(key), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(key), pa.array(k, pa.int64())], names=["doc_id", "cls", "n", "shingle", "k"])
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(key), pa.binary()), pa.array(key), pa.array(k, pa.int64())], names=names)
 
         for batch in batches:
             for first, end, data, at in text_slices(batch.column(1)):
                 sets = shingle_sets(data, at)
                 n = np.array([len(s) for s in sets], np.int64)
-                cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+                cls = [class_of(s) if len(s) else None for s in sets]
+                sig = [None if c is None or c in seen or seen.add(c) else bitmap(s) for c, s in zip(cls, sets, strict=True)]
                 none = pa.nulls(end - first, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), cls, pa.array(n), none, none], names=["doc_id", "cls", "n", "shingle", "k"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(cls, pa.int64()), pa.array(n), pa.array(sig, pa.binary()), none, none], names=names)
+                if len(seen) > SEEN_CLASSES:
+                    seen.clear()
                 held += sets
                 size += int(n.sum())
                 if size >= FLUSH:
@@ -132,11 +142,11 @@ def _classes(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(read, "doc_id long, cls long, n long, shingle long, k long")
+    return docs.mapInArrow(read, "doc_id long, cls long, n long, sig binary, shingle long, k long")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """key, cls: the first shingles of every class, once a task.  ``hot`` is sorted by hash."""
+    """key, cls, hot: the first shingles of every class, once a task, and whether ``hot`` has them."""
     order, rank = np.sort(hot[:, 0].view(np.uint64)) if len(hot) else np.zeros(0, np.uint64), None
     if len(hot):
         rank = hot[np.argsort(hot[:, 0].view(np.uint64)), 1]
@@ -145,48 +155,70 @@ def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, at in text_slices(batch.column(1)):
-                keys, names = [], []
+                keys, names, marks = [], [], []
                 for own in shingle_sets(data, at):
                     if not len(own) or (name := class_of(own)) in seen:
                         continue
                     seen.add(name)
                     length = prefix_length(len(own))
+                    n_rare = len(own)
                     if len(order):
                         where = np.minimum(np.searchsorted(order, own), len(order) - 1)
                         common = order[where] == own
                         rare = own[~common]
-                        if len(rare) < length:
+                        n_rare = len(rare)
+                        if n_rare < length:
                             late = own[common][np.argsort(rank[where[common]], kind="stable")]
                             rare = np.concatenate([rare, late])
                         own = rare
                     keys.append(own[:length])
-                    names.append(np.full(min(length, len(own)), name, np.int64))
+                    names.append(np.full(len(keys[-1]), name, np.int64))
+                    marks.append(np.arange(len(keys[-1])) >= n_rare)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "cls"])
-                if len(seen) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(marks))], names=["key", "cls", "hot"])
+                if len(seen) > SEEN_CLASSES:
                     seen.clear()
 
-    return docs.mapInArrow(post, "key long, cls long")
+    return docs.mapInArrow(post, "key long, cls long, hot boolean")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """cls, n, sig, shingles of the classes of ``docs`` (doc_id, text, cls: the class that is wanted)."""
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """key, cls, lo: the postings of keys that two classes share, with the least of the key's classes.
+
+    A key that isn't in the bounded list of frequent shingles is rare in every part of the input,
+    so its rows may meet in one task; they are shuffled once.  Frequent keys are summed up before
+    the shuffle and their least classes, at most one row for each of the list, are broadcast.
+    """
+    of = Window.partitionBy("key")
+    cold = postings.where("not hot").select("key", "cls").withColumns({"lo": F.min("cls").over(of), "hi": F.max("cls").over(of)}).where("lo <> hi").select("key", "cls", "lo")
+    frequent = postings.where("hot")
+    least = frequent.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "lo")
+    return cold.unionByName(frequent.select("key", "cls").join(F.broadcast(least), "key").select("key", "cls", "lo"))
+
+
+def sets_of(docs: DataFrame, speakers: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """cls, shingles of the ``wanted`` classes, read from the document that speaks for each."""
+    mine = staged(speakers.join(wanted, "cls"), f"{name}-speakers")
+    if mine.count() <= BROADCAST_CLASSES:
+        mine = F.broadcast(mine)
+    said = docs.alias("d").join(mine.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("d.text"), F.col("s.cls"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            for first, end, data, at in text_slices(batch.column(1)):
-                rows = [(w, s) for w, s in zip(wanted[first:end], shingle_sets(data, at), strict=True) if len(s) and class_of(s) == w]
+            names = batch.column(1).to_pylist()
+            for first, end, data, at in text_slices(batch.column(0)):
+                # a doc_id that stands on several texts brings texts of other classes too
+                rows = [(w, s) for w, s in zip(names[first:end], shingle_sets(data, at), strict=True) if len(s) and class_of(s) == w]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([bitmap(s) for _, s in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["cls", "n", "sig", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["cls", "shingles"])
 
-    return docs.mapInArrow(read, "cls long, n long, sig binary, shingles binary").dropDuplicates(["cls"])
+    return staged(said.mapInArrow(read, "cls long, shingles binary").dropDuplicates(["cls"]), f"{name}-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def verified(pairs: DataFrame, bitmaps: DataFrame, speakers: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of classes that link: bound by bits first, then exact intersection."""
-    side = lambda c, *cols: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols])
-    near = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    side = lambda df, c: df.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "cls"])
+    near = pairs.join(side(bitmaps, "a"), "a").join(side(bitmaps, "b"), "b").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +241,9 @@ def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = staged(near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bound, "a long, b long"), f"{name}-bounded")
-    return staged(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"), f"{name}-links")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = sets_of(docs, speakers, wanted, name)
+    return staged(near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,15 +262,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
+def _tile_pairs(members: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """a, b: pairs of different components in a tile that the bitmaps leave possible.
 
-    ``members`` has key, cls, lo, label, n, sig; lo is the member that was compared with all.
+    ``members`` has key, cls, lo, label, n; lo is the member that was compared with all.  Bitmaps
+    are joined to members only where a size band has another.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     banded = members.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    counted = banded.groupBy("key", "band").agg(F.count("*").alias("t")).where("t > 1")
-    cut = banded.join(counted, ["key", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int"))
+    kin = F.col("own") == F.col("band")
+    counted = banded.groupBy("key", "band").agg(F.count("*").alias("t"), F.sum(kin.cast("int")).alias("k"), F.min("label").alias("x"), F.max("label").alias("y"))
+    counted = counted.where("t > 1 and k > 0 and x <> y").select("key", "band", "t")
+    cut = banded.join(counted, ["key", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("s").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     tiles = cut.withColumn("block", block).withColumn("x", F.explode(others)).select("key", "band", "x.i", "x.j", "block", "own", "cls", "lo", "label", "n", "sig")
@@ -280,35 +317,30 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """node, label of the classes that have links; None if none has."""
     hot = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "shingle").limit(HOT_SHINGLES).collect()
-    table_ = np.array([(r["shingle"], r["k"]) for r in hot], np.int64).reshape(-1, 2)
-    postings = staged(_postings(docs, table_), "postings")
-    shared = postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "lo")
-    tiles = staged(postings.join(shared, "key").select("key", "cls", "lo"), "tiles")
+    frequent = np.array([(r["shingle"], r["k"]) for r in hot], np.int64).reshape(-1, 2)
+    tiles = staged(shared_postings(staged(_postings(docs, frequent), "postings")).distinct(), "tiles")
     stars = staged(tiles.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     if stars.isEmpty():
         return None
     wanted = tiles.select("cls").distinct()
-    speakers = staged(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls"), "speakers")
-    few = speakers.count() <= BROADCAST_CLASSES
-    speakers = F.broadcast(speakers) if few else speakers
-    said = docs.alias("d").join(speakers.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("d.doc_id"), F.col("d.text"), F.col("s.cls"))
-    sets = staged(_sets(said), "sets")
-    links = verified(stars, sets, "stars")
-    label = None
-    if not links.isEmpty():
-        label = components(links)
-    named = tiles.distinct()
+    speakers = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    bitmaps = staged(rows.where("sig is not null").select("cls", "n", "sig").join(wanted, "cls").dropDuplicates(["cls"]), "bitmaps")
+    links = verified(stars, bitmaps, speakers, docs, "stars")
+    label = None if links.isEmpty() else components(links)
     if label is None:
-        named = named.withColumn("label", F.col("cls"))
+        named = tiles.withColumn("label", F.col("cls"))
     else:
-        named = named.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        named = tiles.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = staged(named, "named-tiles")
-    # two members are the star itself; one component needs no more links
-    apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("t")).where("t > 2 and x <> y").select("key")
-    members = named.join(apart, "key").join(sets.select("cls", "n", "sig"), "cls").select("key", "cls", "lo", "label", "n", "sig")
-    more = staged(_tile_pairs(members), "tile-pairs")
+    # two members are the star itself; one component needs no more links; of tiles with the same
+    # members (told by 128 bits) one is enough
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), F.col("cls"))).alias(f"m{i}") for i in (1, 2)]
+    apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("t"), *marks).where("t > 2 and x <> y")
+    apart = apart.groupBy("t", "m1", "m2").agg(F.min("key").alias("key")).select("key")
+    members = staged(named.join(apart, "key").join(bitmaps.select("cls", "n"), "cls").select("key", "cls", "lo", "label", "n"), "members")
+    more = staged(_tile_pairs(members, bitmaps), "tile-pairs")
     if not more.isEmpty():
-        found = verified(more, sets, "tiles")
+        found = verified(more, bitmaps, speakers, docs, "tiles")
         if not found.isEmpty():
             links = links.unionByName(found)
             label = components(links)
