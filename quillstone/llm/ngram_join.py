@@ -8,12 +8,15 @@ one class (named by 64 bits of its content), so copies meet once.
    four fifths must share one of the first n - ceil(0.8 n) + 1 in whatever order.  Rare shingles
    come first and the most frequent ones, up to ``HOT_SHINGLES`` of them, last, so that a passage
    or line that many documents share brings few of them together.
-2. A shingle that two classes post is a tile.  Its members are first compared with one of them:
-   linear in the postings, and in a large group of near copies it links nearly all.
+2. The classes that post a shingle form a tile; tiles with the same least class are one.  Every
+   class is first compared with the least class that it meets: one pair a class, and in a large
+   group of near copies that links nearly all.
 3. What such links leave apart in a tile is compared in size bands: sets whose sizes differ by
    more than a fifth never meet, and all others do in one band or the next.  Signatures are hashed
-   bitmaps as wide as twice the set; counting the bits that one has and the other lacks bounds the
-   overlap from above.  Tiles beyond ``TILE_ROWS`` members are cut into pairs of blocks.
+   bitmaps at least four times as wide as the set; counting the bits that one has and the other
+   lacks bounds the overlap from above.  First each class's likeliest partner is tried, then every
+   pair that is still apart and possible.  Tiles beyond ``TILE_ROWS`` members are cut into pairs
+   of blocks.
 4. Surviving pairs are decided exactly on the sorted sets: 100 * intersection >= 80 * union.
 
 Pairs within a component that links already join aren't compared again, so a group of n copies
@@ -87,8 +90,8 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A hashed bitmap of at least twice as many bits as shingles (256 to 65536)."""
-    bits = min(1 << 16, max(256, 1 << (2 * len(own) - 1).bit_length()))
+    """A hashed bitmap of at least four times as many bits as shingles (256 to 524288)."""
+    bits = min(1 << 19, max(256, 1 << (4 * len(own) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(own & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -183,17 +186,17 @@ def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """key, cls, lo: the postings of keys that two classes share, with the least of the key's classes.
+    """cls, lo: the postings of keys that two classes share, with the least of the key's classes.
 
     A key that isn't in the bounded list of frequent shingles is rare in every part of the input,
     so its rows may meet in one task; they are shuffled once.  Frequent keys are summed up before
     the shuffle and their least classes, at most one row for each of the list, are broadcast.
     """
     of = Window.partitionBy("key")
-    cold = postings.where("not hot").select("key", "cls").withColumns({"lo": F.min("cls").over(of), "hi": F.max("cls").over(of)}).where("lo <> hi").select("key", "cls", "lo")
+    cold = postings.where("not hot").select("key", "cls").withColumns({"lo": F.min("cls").over(of), "hi": F.max("cls").over(of)}).where("lo <> hi").select("cls", "lo")
     frequent = postings.where("hot")
     least = frequent.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "lo")
-    return cold.unionByName(frequent.select("key", "cls").join(F.broadcast(least), "key").select("key", "cls", "lo"))
+    return cold.unionByName(frequent.select("key", "cls").join(F.broadcast(least), "key").select("cls", "lo"))
 
 
 def sets_of(docs: DataFrame, speakers: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
@@ -262,38 +265,41 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tile_pairs(members: DataFrame, bitmaps: DataFrame) -> DataFrame:
+def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame:
     """a, b: pairs of different components in a tile that the bitmaps leave possible.
 
-    ``members`` has key, cls, lo, label, n; lo is the member that was compared with all.  Bitmaps
-    are joined to members only where a size band has another.
+    ``members`` has lo (the tile), cls, label and n.  Bitmaps are joined to members only where a
+    size band has another component.  ``best`` gives each class its likeliest partner only.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     banded = members.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     kin = F.col("own") == F.col("band")
-    counted = banded.groupBy("key", "band").agg(F.count("*").alias("t"), F.sum(kin.cast("int")).alias("k"), F.min("label").alias("x"), F.max("label").alias("y"))
-    counted = counted.where("t > 1 and k > 0 and x <> y").select("key", "band", "t")
-    cut = banded.join(counted, ["key", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
+    counted = banded.groupBy("lo", "band").agg(F.count("*").alias("t"), F.sum(kin.cast("int")).alias("k"), F.min("label").alias("x"), F.max("label").alias("y"))
+    counted = counted.where("t > 1 and k > 0 and x <> y").select("lo", "band", "t")
+    cut = banded.join(counted, ["lo", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("s").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    tiles = cut.withColumn("block", block).withColumn("x", F.explode(others)).select("key", "band", "x.i", "x.j", "block", "own", "cls", "lo", "label", "n", "sig")
-    place = ["key", "band", "i", "j"]
+    tiles = cut.withColumn("block", block).withColumn("x", F.explode(others)).select("lo", "band", "x.i", "x.j", "block", "own", "cls", "label", "n", "sig")
+    place = ["lo", "band", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tile(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             band, i, j = rows[0][1:4]
-            block, own, cls, lo, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4, 10))
-            sig = folded([r[10] for r in rows])
+            block, own, cls, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4, 9))
+            sig = folded([r[9] for r in rows])
             right = np.flatnonzero(block == j)
             for x in np.flatnonzero(block == i).tolist():
                 y = right if i != j else right[right > x]
-                ok = (label[y] != label[x]) & ((own[y] == band) | (own[x] == band)) & (cls[x] != lo[x]) & (cls[y] != lo[x])
+                ok = (label[y] != label[x]) & ((own[y] == band) | (own[x] == band))
                 ok &= (5 * n[y] >= 4 * n[x]) & (5 * n[x] >= 4 * n[y])
                 y = y[ok]
                 if len(y):
                     only_x = np.bitwise_count(sig[x] & ~sig[y]).sum(axis=1, dtype=np.int64)
                     only_y = np.bitwise_count(sig[y] & ~sig[x]).sum(axis=1, dtype=np.int64)
-                    y = y[may_link(n[x], n[y], only_x, only_y)]
+                    ok = may_link(n[x], n[y], only_x, only_y)
+                    if best and ok.any():
+                        ok = [np.where(ok, np.minimum(n[x] - only_x, n[y] - only_y) / (n[x] + n[y]), -1).argmax()]
+                    y = y[ok]
                     if len(y):
                         yield np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
 
@@ -318,8 +324,8 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """node, label of the classes that have links; None if none has."""
     hot = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "shingle").limit(HOT_SHINGLES).collect()
     frequent = np.array([(r["shingle"], r["k"]) for r in hot], np.int64).reshape(-1, 2)
-    tiles = staged(shared_postings(staged(_postings(docs, frequent), "postings")).distinct(), "tiles")
-    stars = staged(tiles.where("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    tiles = staged(shared_postings(staged(_postings(docs, frequent), "postings")).select("lo", "cls").distinct(), "tiles")
+    stars = staged(tiles.where("cls <> lo").groupBy("cls").agg(F.min("lo").alias("a")).withColumnRenamed("cls", "b"), "stars")
     if stars.isEmpty():
         return None
     wanted = tiles.select("cls").distinct()
@@ -327,19 +333,18 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     bitmaps = staged(rows.where("sig is not null").select("cls", "n", "sig").join(wanted, "cls").dropDuplicates(["cls"]), "bitmaps")
     links = verified(stars, bitmaps, speakers, docs, "stars")
     label = None if links.isEmpty() else components(links)
-    if label is None:
-        named = tiles.withColumn("label", F.col("cls"))
-    else:
-        named = tiles.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = staged(named, "named-tiles")
-    # two members are the star itself; one component needs no more links; of tiles with the same
-    # members (told by 128 bits) one is enough
-    marks = [F.bit_xor(F.xxhash64(F.lit(i), F.col("cls"))).alias(f"m{i}") for i in (1, 2)]
-    apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("t"), *marks).where("t > 2 and x <> y")
-    apart = apart.groupBy("t", "m1", "m2").agg(F.min("key").alias("key")).select("key")
-    members = staged(named.join(apart, "key").join(bitmaps.select("cls", "n"), "cls").select("key", "cls", "lo", "label", "n"), "members")
-    more = staged(_tile_pairs(members, bitmaps), "tile-pairs")
-    if not more.isEmpty():
+    sized = staged(tiles.join(bitmaps.select("cls", "n"), "cls"), "sized-tiles")
+    for best in (True, False):
+        if label is None:
+            named = sized.withColumn("label", F.col("cls"))
+        else:
+            named = sized.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        # one component needs no more links
+        apart = named.groupBy("lo").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lo")
+        members = staged(named.join(apart, "lo").select("lo", "cls", "label", "n"), "members")
+        more = staged(_tile_pairs(members, bitmaps, best), "tile-pairs")
+        if more.isEmpty():
+            break
         found = verified(more, bitmaps, speakers, docs, "tiles")
         if not found.isEmpty():
             links = links.unionByName(found)
