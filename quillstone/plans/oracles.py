@@ -1 +1,121 @@
-ORACLE_SQL: dict = {}
+"""SQL that says what the queries of the registry return, over the same tables."""
+
+from __future__ import annotations
+
+from ..functions import fixed
+from .fixtures import BOXES_SQL, META_SQL
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _case(code: str, words: dict[str, str], default: str | None) -> str:
+    return "case " + code + "".join(f" when {_text(k)} then {_text(v)}" for k, v in words.items()) + (f" else {_text(default)}" if default is not None else "") + " end"
+
+
+def _band(volume: str, names: tuple[str, ...]) -> str:
+    return "case " + " ".join(f"when {volume} < {b} then {_text(n)}" for b, n in zip(fixed.BANDS, names, strict=False)) + f" else {_text(names[-1])} end"
+
+
+def _clause(volume: str) -> str:
+    brand = _case("brand", fixed.BRAND_WORDS, None)
+    return f"{_text(fixed.EDIT_SENTENCE)} || {volume} || ' cc ' || {_case('shape', fixed.SHAPE_WORDS, fixed.DEFAULT_SHAPE_WORDS)} || ', using ' || {_case('profile', fixed.PROFILE_WORDS, fixed.DEFAULT_PROFILE_WORDS)} || coalesce(', in the style of ' || {brand}, '') || '.'"
+
+
+_CAPTION = f"{_clause('volume_cc')} || ' The change should read as ' || {_band('volume_cc', fixed.BAND_PHRASES)} || '. ' || {_text(fixed.KEEP_SENTENCE)}"
+_CLAMPED = "least(800, greatest(150, volume_cc))"
+_PROMPT = " || chr(10) || ".join([_text(fixed.PROMPT_HEAD), _clause(_CLAMPED), f"'The change should read as ' || {_band(_CLAMPED, fixed.BAND_PHRASES)} || {_text(fixed.PROMPT_BAND_TAIL)}", *map(_text, fixed.PROMPT_RULES)])
+
+_ERRORS = f"""{META_SQL},
+listed as (select *, case when k % 31 = 0 then ['meta.json is not valid JSON'] else list_filter([
+  case when shape is null or shape = '' then 'missing required field ''shape''' end,
+  case when consent_ref is null or consent_ref = '' then 'missing required field ''consent_ref''' end,
+  case when shape not in ('round', 'teardrop') then 'invalid shape ''' || shape || '''' end,
+  case when view not in ('front', 'oblique-left', 'oblique-right', 'side-left', 'side-right') then 'invalid view ''' || view || '''' end,
+  case when volume_cc not between 100 and 1000 then 'volume_cc must be an integer between 100 and 1000, got ' || volume_cc end,
+  case when pair_id <> folder then 'pair_id ''' || pair_id || ''' does not match folder name ''' || folder || '''' end,
+  case when before is null then 'no before.(jpg|png|webp) image' end,
+  case when after is null then 'no after.(jpg|png|webp) image' end], lambda x: x is not null) end as errors from meta)"""
+
+_SPLIT = "case when row_number() over (order by md5('42:' || pair_id), pair_id) <= case when count(*) over () > 1 then greatest(1, cast(floor(count(*) over () * 0.1) as bigint)) else 0 end then 'val' else 'train' end as split"
+
+_REASONS = f"""{BOXES_SQL},
+reasons as (select k || '/' || n as label, 'ingest' as stage, coalesce(
+  case when least(width, height) < 512 then 'before image too small (' || width || 'x' || height || ')' end,
+  case when least(height, w * 10) < 512 then 'after image too small (' || height || 'x' || w * 10 || ')' end,
+  case when faces = 3 then 'after is a duplicate' end) as reason from boxes)"""
+
+_ASPECT_ROWS = ", ".join(f"({i}, {_text(name)}, {a}::double / {b}::double)" for i, (name, (a, b)) in enumerate((n, n.split(":")) for n, _ in fixed.ASPECTS))
+_ASPECTS = f"""{BOXES_SQL}, ratios(i, name, r) as (values {_ASPECT_ROWS}),
+sizes as (select distinct width, height from boxes where width > 0 and height > 0),
+best as (select width, height, name from (select *, row_number() over (partition by width, height order by abs(ln(width::double / height::double / r)), i) as p from sizes, ratios) where p = 1)"""
+
+_HITS = "hits as (select event_type as key, cast(floor(epoch_us(ts) / 1000000) as bigint) as t, event_id as id from events)"
+_MIME = "['image/jpeg', 'image/png', 'image/webp', 'image/gif'][k % 4 + 1]"
+_SAY = {k: _text(v) for k, v in fixed.SAYS.items()}
+
+ORACLE_SQL: dict[str, str] = {
+    "validate_errors": f"with {_ERRORS} select k, array_to_string(errors, '; ') as errors, cast(len(errors) as bigint) as n_errors, len(errors) = 0 as accepted from listed",
+    "accept_reject_counts": f"with {_ERRORS} select cast(count(*) filter (len(errors) = 0) as bigint) as accepted, cast(count(*) filter (len(errors) > 0) as bigint) as rejected from listed",
+    "consent_gate": f"with {META_SQL} select k, consent_ref from meta where consent_ref <> ''",
+    "reject_reasons": f"with {_REASONS} select * from reasons where reason is not null",
+    "reject_totals": f"with {_REASONS} select stage, split_part(reason, ' ', 1) as stem, count(*) as n from reasons where reason is not null group by 1, 2",
+    "captions": f"with {META_SQL} select k, {_CAPTION} as caption from meta",
+    "edit_prompts": f"with {META_SQL} select k, {_PROMPT} as prompt from meta",
+    "volume_bands": f"with {META_SQL} select k, {_band('volume_cc', fixed.BAND_PHRASES)} as phrase, {_band('volume_cc', fixed.BAND_LABELS)} as label, cast({_CLAMPED} as bigint) as clamped from meta",
+    "catalog_lookup": f"with {META_SQL} select k, {_case('brand', {b[0]: b[1] for b in fixed.BRANDS}, None)} as found_brand_name, {_case('profile', {p[0]: p[1] for p in fixed.PROFILES}, None)} as found_profile_name, {_case('shape', {s[0]: s[1] for s in fixed.SHAPE_ROWS}, None)} as found_shape_name from meta",
+    "catalog_unknown": f"with {META_SQL} select k, brand from meta where brand in ('other', 'unknown')",
+    "catalog_unnest": "select * from (values " + ", ".join(f"({_text(b[0])}, cast({i} as bigint), {_text(h)})" for b in fixed.BRANDS for i, h in enumerate(b[5])) + ") as t(brand_id, position, highlight)",
+    "split_assign": f"with {META_SQL} select pair_id, {_SPLIT} from meta",
+    "split_counts": f"with {META_SQL}, s as (select {_SPLIT} from meta) select count(*) filter (split = 'train') as n_train, count(*) filter (split = 'val') as n_val, count(*) filter (split = 'train') < 500 as too_small from s",
+    "manifest": f"with {_ERRORS}, s as (select pair_id, {_CAPTION} as instruction, {_SPLIT} from listed where len(errors) = 0) select pair_id, split, split || '/control/' || pair_id || '.jpg' as control, split || '/target/' || pair_id || '.jpg' as target, instruction from s",
+    "pixel_hash_text": "select doc_id, sha256(text) as digest from documents",
+    "dedupe_greedy": """with s as (select doc_id - doc_id % 2 as ord, max(case when doc_id % 2 = 0 then sha256(text) end) as before, max(case when doc_id % 2 = 1 then sha256(text) end) as after from documents group by 1),
+p as (select *, ord % 26 <> 0 as b_ok, ord % 34 <> 0 as a_ok from s where before is not null and after is not null),
+l as (select list({o: ord, b: before, a: after, b_ok: b_ok, a_ok: a_ok} order by ord) as x from p),
+f as (select list_reduce(x, lambda s, e: {
+    seen: case when e.b_ok and not list_contains(s.seen, e.b) then case when e.a_ok and e.a <> e.b and not list_contains(s.seen, e.a) then list_append(list_append(s.seen, e.b), e.a) else list_append(s.seen, e.b) end else s.seen end,
+    o: list_append(s.o, {ord: e.o, accepted: e.b_ok and not list_contains(s.seen, e.b) and e.a_ok and e.a <> e.b and not list_contains(s.seen, e.a)})},
+  {seen: []::varchar[], o: []::struct(ord bigint, accepted boolean)[]}) as r from l)
+select u.ord, u.accepted from (select unnest(r.o) as u from f)""",
+    "pair_assemble": """with f as (select cast(floor(doc_id / 2) as bigint) as folder, max(case when doc_id % 2 = 0 and doc_id % 13 <> 0 then cast(doc_id as varchar) end) as before, max(case when doc_id % 2 = 1 and doc_id % 13 <> 0 then cast(doc_id as varchar) end) as after from documents group by 1)
+select *, concat_ws('; ', case when before is null then 'no before.(jpg|png|webp) image' end, case when after is null then 'no after.(jpg|png|webp) image' end) as errors from f""",
+    "best_extension": """with f as (select cast(floor(page_id / 3) as bigint) as folder, ['webp', 'png', 'JPG', 'jpeg', 'jpg'][cast((page_id * 7 + floor(page_id / 5)) as bigint) % 5 + 1] as e from pages)
+select folder, 'before.' || arg_min(e, list_position(['jpg', 'jpeg', 'png', 'webp'], e)) as path from f where e <> 'JPG' group by 1""",
+    "path_order": f"with {META_SQL} select k, row_number() over (order by clinic, folder) - 1 as ord from meta",
+    "rate_limit": f"""with {_HITS}, l as (select key, list({{t: t, id: id}} order by t, id) as x from hits group by 1),
+f as (select key, list_reduce(x, lambda s, e: {{
+    kept: case when len(list_filter(s.kept, lambda q: e.t - q < 7200)) >= 8 then list_filter(s.kept, lambda q: e.t - q < 7200) else list_append(list_filter(s.kept, lambda q: e.t - q < 7200), e.t) end,
+    o: list_append(s.o, {{t: e.t, id: e.id, blocked: len(list_filter(s.kept, lambda q: e.t - q < 7200)) >= 8}})}},
+  {{kept: []::bigint[], o: []::struct(t bigint, id bigint, blocked boolean)[]}}) as r from l)
+select key, u.t, u.id, u.blocked from (select key, unnest(r.o) as u from f)""",
+    "client_key": "select event_id, coalesce(nullif(trim(split_part(case event_id % 6 when 0 then null when 1 then ' , 10.0.0.1' when 2 then '  ' || user_id || ' ,x' else cast(user_id as varchar) end, ',', 1)), ''), 'unknown') as client from events",
+    "latest_wins": "select conv_id, turn, turn = max(turn) over (partition by conv_id) as kept from conversations",
+    "can_generate": "select conv_id, turn, turn % 2 = 0 and conv_id % 3 <> 0 and turn % 5 <> 0 as enabled from conversations",
+    "closest_aspect": f"with {_ASPECTS} select k, n, name as aspect from boxes left join best using (width, height)",
+    "scale_dims": f"with {BOXES_SQL} select k, n, cast(floor(width * least(1.0::double, 1536.0::double / greatest(width, height)) + 0.5) as bigint) as width, cast(floor(height * least(1.0::double, 1536.0::double / greatest(width, height)) + 0.5) as bigint) as height, least(boxes.width, boxes.height) >= 512 as large from boxes",
+    "bbox_expand": f"""with {BOXES_SQL}, m as (select *, cast(trunc(w * 0.35::double) as bigint) as mx, cast(trunc(h * 0.35::double) as bigint) as my from boxes),
+e as (select k, n, cast(greatest(0, x - mx) as bigint) as x0, cast(greatest(0, y - my) as bigint) as y0, cast(least(width, x + w + mx) as bigint) as x1, cast(least(height, y + h + my) as bigint) as y1 from m)
+select k, n, case when x1 > x0 and y1 > y0 then x0 end as x0, case when x1 > x0 and y1 > y0 then y0 end as y0, case when x1 > x0 and y1 > y0 then x1 end as x1, case when x1 > x0 and y1 > y0 then y1 end as y1 from e""",
+    "crop_rows": f"with {BOXES_SQL} select k, n, cast(trunc(height * 0.2::double) as bigint) as first, height - cast(trunc(height * 0.2::double) as bigint) as kept from boxes",
+    "noface_gate": f"with {BOXES_SQL} select k, n, faces = 0 and not (allow or crop <> 0) as parity, faces = 0 and not allow as strict from boxes",
+    "guard_cascade": f"""with {META_SQL},
+c as (select k, case when k % 10 = 0 then 'rate' when k % 8 in (0, 1, 2) then 'large' when k % 12 = 0 then 'json' when k % 7 = 0 then 'photo' when k % 4 = 3 then 'mime'
+  when brand in ('other', 'unknown') or shape not in ('round', 'teardrop') or profile = 'unknown' or volume_cc not between 150 and 800 then 'config' else 'demo' end as g from meta)
+select k, cast(case g when 'rate' then 429 when 'large' then 413 when 'demo' then 200 else 400 end as bigint) as status, case when g = 'demo' then true end as demo,
+  case when g = 'demo' then 'aGk' || k end as image, case g {" ".join(f"when {_text(x)} then {_SAY[x]}" for x in ("rate", "large", "json", "photo", "mime", "config", "demo"))} end as said from c""",
+    "response_map": f"""with g as (select conv_id as c, min(case when role = 'assistant' and conv_id % 4 <> 0 and conv_id % 3 <> 0 then turn end) as t from conversations group by 1),
+s as (select c, case when c % 16 <> 0 then t end as t, (c % 16 <> 0 and c % 5 in (0, 1)) or c % 7 = 0 as blocked,
+  case when c % 21 = 20 then 'timeout' when c % 21 = 19 then 'unreachable' when c % 10 = 9 then 'busy' when c % 10 = 8 then 'failed' end as f from g),
+a as (select *, case when f is not null then f when t is not null then 'ok' when blocked then 'declined' else 'no_image' end as r from s)
+select c as conv_id, cast(case r when 'ok' then 200 when 'declined' then 422 else 502 end as bigint) as status,
+  case r {" ".join(f"when {_text(x)} then {_SAY[x]}" for x in ("timeout", "unreachable", "busy", "failed", "declined", "no_image"))} end as error,
+  case when r = 'ok' then 'img' || t end as image, case when r = 'ok' then case when t % 2 = 0 then 'image/jpeg' else 'image/png' end end as mime from a""",
+    "request_json": f"""with {_ASPECTS} select k, n, '{{"contents":[{{"parts":[{{"inlineData":{{"mimeType":"image/png","data":"' || k || '"}}}},{{"text":"prompt"}}]}}],"generationConfig":{{"responseModalities":["IMAGE"]' || case when k % 3 <> 0 then ',"imageConfig":{{"aspectRatio":"' || name || '"}}' else '' end || '}}}}' as body from boxes left join best using (width, height)""",
+    "file_checks": f"with {BOXES_SQL} select k, n, case when k % 4 = 3 then {_SAY['file_type']} when width * height * 4 > 20971520 then {_SAY['file_size']} end as error from boxes",
+    "download_name": f"with {META_SQL} select k, 'preview-' || brand || '-' || shape || '-' || volume_cc || 'cc.' || ['jpg', 'png', 'webp', 'png'][k % 4 + 1] as name, 'data:' || {_MIME} || ';base64,' || k as url from meta",
+    "provider_error_detail": "select doc_id, substr(text, 1, 500) as detail, string_split(text, ',')[2] as payload from documents",
+    "expired_keys": f"with {_HITS} select id % 997 as key from hits group by 1 having max(t) <= (select max(t) from hits) - 86400",
+    "volume_guide": "select * from (values " + ", ".join(f"({_text(a)}, {_text(b)})" for a, b in fixed.VOLUME_GUIDE) + ') as t("range", effect)',
+}

@@ -1 +1,246 @@
-QUERIES: dict = {}
+"""One query for each operator or group of operators, over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, text
+from ..operators import lookup, ordered, requests, validation
+from ..sources import pairs
+from . import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validated(fixtures.metadata_json(fixtures.meta(spark, sf_dir)).select("k", "clinic", "folder", "before", "after", "meta_json"))
+
+
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata that passes every rule, as typed columns, behind the consent gate."""
+    meta = fixtures.meta(spark, sf_dir)
+    whole = fixtures.metadata_json(meta)
+    checked = validation.validated(whole).where("accepted")
+    return validation.consent_gate(checked, F.col("consent_ref"), parity=True)
+
+
+@query
+def validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select("k", validation.joined_errors(F.col("errors")).alias("errors"), F.size("errors").cast("long").alias("n_errors"), "accepted")
+
+
+@query
+def accept_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.outcome_counts(_validated(spark, sf_dir), F.col("accepted"))
+
+
+@query
+def consent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.consent_gate(fixtures.meta(spark, sf_dir), F.col("consent_ref"), parity=True).select("k", "consent_ref")
+
+
+@query
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.boxes(spark, sf_dir)
+    reason = validation.first_reason(validation.too_small("before", F.col("width"), F.col("height")), validation.too_small("after", F.col("height"), F.col("w") * 10), (F.col("faces") == 3, F.lit("after is a duplicate")))
+    label = text.label(F.col("k").cast("string"), F.col("n").cast("string"))
+    return validation.rejects(rows, label, "ingest", reason)
+
+
+@query
+def reject_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reject_reasons(spark, sf_dir).groupBy("stage", F.substring_index("reason", " ", 1).alias("stem")).agg(F.count("*").alias("n"))
+
+
+@query
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.meta(spark, sf_dir).select("k", text.caption(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand")).alias("caption"))
+
+
+@query
+def edit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.meta(spark, sf_dir).select("k", text.edit_prompt(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand")).alias("prompt"))
+
+
+@query
+def volume_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cc = F.col("volume_cc")
+    return fixtures.meta(spark, sf_dir).select("k", text.size_phrase(cc).alias("phrase"), text.size_label(cc).alias("label"), text.clamp(cc).cast("long").alias("clamped"))
+
+
+@query
+def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.meta(spark, sf_dir).select("k", "brand", "profile", "shape")
+    for dimension, code in ((lookup.brands, "brand"), (lookup.profiles, "profile"), (lookup.shapes, "shape")):
+        rows = lookup.look_up(rows, dimension(spark), F.col(code), f"found_{code}")
+    return rows.select("k", "found_brand_name", "found_profile_name", "found_shape_name")
+
+
+@query
+def catalog_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.known(fixtures.meta(spark, sf_dir), lookup.brands(spark), F.col("brand"), keep=False).select("k", "brand")
+
+
+@query
+def catalog_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.highlights(lookup.brands(spark)).select("brand_id", F.col("position").cast("long").alias("position"), "highlight")
+
+
+@query
+def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.split_assign(fixtures.meta(spark, sf_dir).select("pair_id")).select("pair_id", "split")
+
+
+@query
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.split_counts(split_assign(spark, sf_dir))
+
+
+@query
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordered.split_assign(_accepted(spark, sf_dir).withColumn("caption", text.caption(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand"))))
+    return pairs.manifest(rows).drop("meta")
+
+
+@query
+def pixel_hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", ordered.digest(F.col("text")).alias("digest"))
+
+
+@query
+def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.dedupe_greedy(fixtures.digest_pairs(spark, sf_dir)).select("ord", "accepted")
+
+
+@query
+def pair_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    files = fixtures.table(spark, sf_dir, "documents").where(d % 13 != 0).select(F.floor(d / 2).alias("folder"), F.when(d % 2 == 0, "before").otherwise("after").alias("stem"), d.cast("string").alias("path"))
+    metas = fixtures.table(spark, sf_dir, "documents").select(F.floor(d / 2).alias("folder")).distinct()
+    errors = validation.joined_errors(F.array_compact(F.array(*validation.missing_images(F.col("before"), F.col("after")))))
+    return pairs.assemble(metas, files, ["folder"]).select("folder", "before", "after", errors.alias("errors"))
+
+
+@query
+def best_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    files = fixtures.table(spark, sf_dir, "pages").select(F.floor(p / 3).alias("folder"), fixtures.pick(p * 7 + F.floor(p / 5), "webp", "png", "JPG", "jpeg", "jpg").alias("extension"))
+    return pairs.best_extension(files.withColumn("path", F.concat(F.lit("before."), F.col("extension"))), ["folder"]).select("folder", "path")
+
+
+@query
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.meta(spark, sf_dir).select("clinic", "folder", "k")
+    return ordered.ordered_paths(rows, "clinic", "folder").select("k", F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.rate_limit(fixtures.hits(spark, sf_dir), limit=8, window=7200)
+
+
+@query
+def client_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    user = F.col("user_id").cast("string")
+    header = F.when(e % 6 == 0, F.lit(None)).when(e % 6 == 1, F.lit(" , 10.0.0.1")).when(e % 6 == 2, F.concat(F.lit("  "), user, F.lit(" ,x"))).otherwise(user)
+    return fixtures.table(spark, sf_dir, "events").select("event_id", text.client_key(header).alias("client"))
+
+
+@query
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.latest_wins(fixtures.table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query
+def can_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", ordered.can_generate(F.col("turn") % 2 == 0, F.col("conv_id") % 3 != 0, F.col("turn") % 5 == 0).alias("enabled"))
+
+
+@query
+def closest_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.boxes(spark, sf_dir).select("k", "n", geometry.closest_aspect(F.col("width"), F.col("height")).alias("aspect"))
+
+
+@query
+def scale_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, height = geometry.scaled(F.col("width"), F.col("height"))
+    return fixtures.boxes(spark, sf_dir).select("k", "n", width.alias("width"), height.alias("height"), geometry.large_enough(F.col("width"), F.col("height")).alias("large"))
+
+
+@query
+def bbox_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = geometry.expanded_box(*map(F.col, ("x", "y", "w", "h", "width", "height")))
+    return fixtures.boxes(spark, sf_dir).select("k", "n", box.alias("b")).select("k", "n", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+@query
+def crop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, kept = geometry.cropped_rows(F.col("height"), 0.2)
+    return fixtures.boxes(spark, sf_dir).select("k", "n", first.alias("first"), kept.alias("kept"))
+
+
+@query
+def noface_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces, allow, crop = map(F.col, ("faces", "allow", "crop"))
+    return fixtures.boxes(spark, sf_dir).select("k", "n", validation.no_face_rejected(faces, allow, crop, parity=True).alias("parity"), validation.no_face_rejected(faces, allow, crop).alias("strict"))
+
+
+@query
+def guard_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests.guarded(fixtures.requests(spark, sf_dir), F.col("limited"))
+    return rows.select("k", F.col("response.status").cast("long").alias("status"), F.col("response.demo").alias("demo"), F.col("response.image").alias("image"), F.coalesce("response.error", "response.message").alias("said"))
+
+
+@query
+def response_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = requests.mapped_response(F.col("response"), F.col("http_status"), F.col("network_error"))
+    rows = fixtures.responses(spark, sf_dir).withColumn("answer", answer)
+    return rows.select("conv_id", F.col("answer.status").cast("long").alias("status"), "answer.error", "answer.image", F.col("answer.mimeType").alias("mime"))
+
+
+@query
+def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = requests.provider_request(F.lit("prompt"), F.lit("image/png"), F.col("k").cast("string"), F.when(F.col("k") % 3 != 0, F.col("width")), F.col("height"))
+    return fixtures.boxes(spark, sf_dir).select("k", "n", body.alias("body"))
+
+
+@query
+def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    mime = fixtures.pick(k, "image/jpeg", "image/png", "image/webp", "image/gif")
+    return fixtures.boxes(spark, sf_dir).select("k", "n", requests.file_error(mime, F.col("width") * F.col("height") * 4).alias("error"))
+
+
+@query
+def download_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mime = fixtures.pick(F.col("k"), "image/jpeg", "image/png", "image/webp", "image/gif")
+    return fixtures.meta(spark, sf_dir).select("k", text.download_name(F.col("brand"), F.col("shape"), F.col("volume_cc"), mime).alias("name"), text.data_url(mime, F.col("k").cast("string")).alias("url"))
+
+
+@query
+def provider_error_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", text.error_detail(F.col("text")).alias("detail"), text.data_url_payload(F.col("text")).alias("payload"))
+
+
+@query
+def expired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fixtures.hits(spark, sf_dir).select((F.col("id") % 997).alias("key"), "t")
+    now = hits.agg(F.max("t")).first()[0]
+    state = hits.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("t"), False), 1, 8).alias("times"))
+    return ordered.expired_keys(state, now, 86_400)
+
+
+@query
+def volume_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.volume_guide(spark)
+
