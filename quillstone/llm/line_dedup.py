@@ -40,7 +40,7 @@ def count_words(text: Column) -> Column:
 
 
 def line_runs(base: DataFrame, min_words: int) -> DataFrame:
-    """Runs of neighbouring repeated lines with enough words: __row, __doc, __line, __w, __r (arrays)."""
+    """Runs of neighbouring repeated lines with enough words: __row, __doc, __line, __w, __sum, __r (arrays)."""
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)))
     described = F.transform(trimmed, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), count_words(x).alias("w")))
     kept = F.filter(described, lambda x: x["w"] > 0)
@@ -50,32 +50,37 @@ def line_runs(base: DataFrame, min_words: int) -> DataFrame:
     ranked = staged(repeated.orderBy("h1", "h2").withColumn("r", F.monotonically_increasing_id()), "line-ranks")
     active = lines.join(ranked, ["h1", "h2"]).select("__row", "__doc", "__seq", "line", "w", "r")
     place = Window.partitionBy("__row").orderBy("__seq")
-    runs = active.withColumn("__run", F.col("__seq") - F.row_number().over(place)).groupBy("__row", "__run")
-    gathered = runs.agg(F.first("__doc").alias("__doc"), F.array_sort(F.collect_list(F.struct("__seq", "line", "w", "r"))).alias("x"), F.sum("w").alias("words"))
-    return gathered.where(F.col("words") >= min_words).select("__row", "__doc", F.col("x.line").alias("__line"), F.col("x.w").alias("__w"), F.col("x.r").alias("__r"))
+    runs = active.withColumn("__run", F.col("__seq") - F.row_number().over(place)).withColumn("sum", F.sum("w").over(place)).groupBy("__row", "__run")
+    gathered = runs.agg(F.first("__doc").alias("__doc"), F.array_sort(F.collect_list(F.struct("__seq", "line", "w", "sum", "r"))).alias("x"), F.sum("w").alias("words"))
+    gathered = gathered.where(F.col("words") >= min_words).select("__row", "__doc", *[F.col(f"x.{c}").alias(f"__{c}") for c in ("line", "w", "sum", "r")])
+    return staged(gathered, "line-runs")  # what follows reads the lists by place, so they must stand as columns
 
 
-def shortest_windows(w: Column, min_words: int) -> Column:
-    """All (s, m): the shortest run of m lines with enough words from place s on, or up to a place."""
-    sums = F.aggregate(w, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    n = F.size(w)
+def shortest_windows(min_words: int) -> Column:
+    """All (s, m) of a run: the shortest run of m lines with enough words from place s on, or up to a place.
+
+    Every line has a word, so no more than ``min_words`` places are looked at from any.
+    """
+    n = F.size("__w")
+    words = lambda s, e: F.get("__sum", e) - F.get("__sum", s) + F.get("__w", s)
 
     def forwards(s: Column) -> Column:
-        ends = F.filter(F.sequence(s + 1, F.least(n, s + min_words)), lambda e: F.get(sums, e) - F.get(sums, s) >= min_words)
-        return F.struct(s.alias("s"), (F.get(ends, F.lit(0)) - s).alias("m"))
+        ends = F.filter(F.sequence(s, F.least(n - 1, s + min_words - 1)), lambda e: words(s, e) >= min_words)
+        return F.struct(s.alias("s"), (F.get(ends, F.lit(0)) - s + 1).alias("m"))
 
     def backwards(e: Column) -> Column:
-        starts = F.filter(F.sequence(F.greatest(F.lit(0), e - min_words), e - 1), lambda s: F.get(sums, e) - F.get(sums, s) >= min_words)
-        start = F.element_at(F.concat(F.array(F.lit(None).cast("int")), starts), -1)
-        return F.struct(start.alias("s"), (e - start).alias("m"))
+        starts = F.filter(F.sequence(F.greatest(F.lit(0), e - min_words + 1), e), lambda s: words(s, e) >= min_words)
+        start = F.try_element_at(starts, F.lit(-1))
+        return F.struct(start.alias("s"), (e - start + 1).alias("m"))
 
-    both = F.concat(F.transform(F.sequence(F.lit(0), n - 1), forwards), F.transform(F.sequence(F.lit(1), n), backwards))
+    places = F.sequence(F.lit(0), n - 1)
+    both = F.concat(F.transform(places, forwards), F.transform(places, backwards))
     return F.array_distinct(F.filter(both, lambda x: x["s"].isNotNull() & x["m"].isNotNull()))
 
 
 def later_copies(runs: DataFrame, min_words: int) -> DataFrame:
     """__row and __line of every line that a later copy of a qualifying run covers, once each."""
-    state = staged(runs.withColumn("__win", shortest_windows(F.col("__w"), min_words)).withColumn("__first", F.col("__line")), "line-runs-0")
+    state = staged(runs.withColumn("__win", shortest_windows(min_words)).withColumn("__head", F.get("__line", F.lit(0))).drop("__w", "__sum"), "line-runs-0")
     deepest = state.agg(F.max(F.array_max(F.transform("__win", lambda x: x["m"])))).first()[0] or 0
     found, size, level = None, 1, 0
     while size <= deepest:
@@ -100,17 +105,17 @@ def later_copies(runs: DataFrame, min_words: int) -> DataFrame:
 
 def doubled(state: DataFrame, size: int, level: int) -> DataFrame:
     """The next round: ranks of runs of 2 * size lines; null where such a run occurs once or ends too late."""
-    spots = F.sequence(F.lit(0), F.size("__r") - size - 1)
-    pairs = F.when(F.size("__r") > size, F.transform(spots, lambda i: F.struct(i.alias("i"), F.get("__r", i).alias("a"), F.get("__r", i + size).alias("b"))))
-    pairs = F.filter(pairs, lambda x: x["a"].isNotNull() & x["b"].isNotNull())
-    exploded = staged(state.select("__row", F.get("__first", F.lit(0)).alias("__head"), F.explode(pairs).alias("x")).select("__row", "__head", "x.*"), f"line-pairs-{level}")
-    repeated = exploded.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    spots = F.sequence(F.lit(0), F.size("__r") - 1)
+    pairs = F.transform(spots, lambda i: F.struct(i.alias("i"), F.get("__r", i).alias("a"), F.get("__r", i + size).alias("b")))
+    exploded = staged(state.select("__row", "__head", F.explode(pairs).alias("x")).select("__row", "__head", "x.*"), f"line-pairs-{level}")
+    whole = exploded.where("a is not null and b is not null")
+    repeated = whole.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     ranked = staged(repeated.orderBy("a", "b").withColumn("r", F.monotonically_increasing_id()), f"line-ranks-{level + 1}")
-    named = exploded.join(ranked, ["a", "b"]).groupBy("__row", "__head").agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("__next"))
-    old = state.withColumn("__head", F.get("__first", F.lit(0)))
-    merged = old.join(named, ["__row", "__head"])
-    renamed = F.transform(F.sequence(F.lit(0), F.size("__r") - 1), lambda i: F.element_at("__next", i))
-    return staged(merged.withColumn("__r", renamed).select(*state.columns), f"line-runs-{level + 1}")
+    none = exploded.where("a is null or b is null").select("__row", "__head", "i", F.lit(None).cast("long").alias("r"))
+    named = whole.join(ranked, ["a", "b"], "left").select("__row", "__head", "i", "r").unionByName(none)
+    lists = named.groupBy("__row", "__head").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("__x")).select("__row", "__head", F.col("__x.r").alias("__next"))
+    merged = state.join(lists, ["__row", "__head"]).withColumn("__r", F.col("__next"))
+    return staged(merged.select(*state.columns), f"line-runs-{level + 1}")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
