@@ -12,11 +12,12 @@ from ..functions import fixed
 from ..operators.ordered import HitLog
 
 
-def limit_stream(hits: DataFrame, limit: int = fixed.RATE_LIMIT, window: int = fixed.RATE_WINDOW_MS) -> DataFrame:
+def limit_stream(hits: DataFrame, limit: int = fixed.RATE_LIMIT, window: int = fixed.RATE_WINDOW_MS, forget_idle: bool = False) -> DataFrame:
     """``hits`` (key string, t long, id long) with blocked.
 
-    State is one list of at most ``limit`` times a key and is dropped once the key has been idle
-    for the window, which no result can show.  Within a trigger hits are taken in the order of t
+    State is one list of at most ``limit`` times a key.  With ``forget_idle`` it is dropped once a
+    key has been idle for the window, which no result can show; Spark then goes on with triggers
+    without data, so a query of that kind is stopped and doesn't end by itself.  Within a trigger hits are taken in the order of t
     and id; a hit that comes later than the trigger of its successors is judged by what is kept.
     """
 
@@ -29,7 +30,8 @@ def limit_stream(hits: DataFrame, limit: int = fixed.RATE_LIMIT, window: int = f
         rows = pd.concat(list(batches)).sort_values(["t", "id"])
         said = [log.blocked(int(t)) for t in rows["t"]]
         state.update((log.kept,))
-        state.setTimeoutDuration(max(1, window))
+        if forget_idle:
+            state.setTimeoutDuration(max(1, window))
         yield pd.DataFrame({"key": key[0], "t": rows["t"], "id": rows["id"], "blocked": said})
 
-    return hits.groupBy("key").applyInPandasWithState(judge, "key string, t long, id long, blocked boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(judge, "key string, t long, id long, blocked boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_idle else GroupStateTimeout.NoTimeout)
