@@ -89,7 +89,7 @@ class Model:
         self.tree: dict[str, list[str]] = {}
         for lang in self.langs:
             self.tree.setdefault(family_of(lang), []).append(lang)
-        x = features(texts).astype(np.float64) * SCALE
+        x = features(texts).astype(np.float64) * SCALE if texts else np.zeros((0, ORDERS << BITS))
         own = np.array(langs)
         kin = np.array([family_of(x) for x in langs])
         self.pairs: list[tuple[str | None, str, str]] = []
@@ -100,7 +100,7 @@ class Model:
                     rows = (of == a) | (of == b)
                     columns.append(fit_svm(x[rows], np.where(of[rows] == a, 1.0, -1.0)))
                     self.pairs.append((group, a, b))
-        machines = np.array(columns).reshape(len(columns), -1)
+        machines = np.array(columns).reshape(len(columns), (ORDERS << BITS) + 1)
         self.weights = (machines[:, :-1].T * SCALE).astype(np.float32) if len(columns) else np.zeros((ORDERS << BITS, 0), np.float32)
         self.intercepts = machines[:, -1] if len(columns) else np.zeros(0)
 
