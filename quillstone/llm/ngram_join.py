@@ -13,7 +13,7 @@ one class (named by 64 bits of its content), so copies meet once.
    group of near copies that links nearly all.
 3. What such links leave apart in a tile is compared in size bands: sets whose sizes differ by
    more than a fifth never meet, and all others do in one band or the next.  Signatures are hashed
-   bitmaps at least four times as wide as the set; counting the bits that one has and the other
+   bitmaps at least one and a half times as wide as the set; counting the bits that one has and the other
    lacks bounds the overlap from above.  First each class's likeliest partner is tried, then every
    pair that is still apart and possible.  Tiles beyond ``TILE_ROWS`` members are cut into pairs
    of blocks.
@@ -90,8 +90,12 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A hashed bitmap of at least four times as many bits as shingles (256 to 524288)."""
-    bits = min(1 << 19, max(256, 1 << (4 * len(own) - 1).bit_length()))
+    """A hashed bitmap of at least one and a half times as many bits as shingles (256 to 524288).
+
+    Two unrelated sets of one size then differ in a quarter of their shingles or more, and a link
+    allows a ninth; bitmaps are most of what tiles shuffle, so they are no wider than that needs.
+    """
+    bits = min(1 << 19, max(256, 1 << (3 * len(own) // 2 - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(own & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
