@@ -13,10 +13,11 @@ one class (named by 64 bits of its content), so copies meet once.
    group of near copies that links nearly all.
 3. What such links leave apart in a tile is compared in size bands: sets whose sizes differ by
    more than a fifth never meet, and all others do in one band or the next.  Signatures are hashed
-   bitmaps at least one and a half times as wide as the set; counting the bits that one has and the other
-   lacks bounds the overlap from above.  First each class's likeliest partner is tried, then every
-   pair that is still apart and possible.  Tiles beyond ``TILE_ROWS`` members are cut into pairs
-   of blocks.
+   bitmaps of parities, at least three fifths as wide as the set; sets differ in no fewer shingles
+   than their bitmaps do in bits, and that bounds the overlap from above.  First each class's
+   likeliest partner is tried; tiles in which a class had others are read again, for every pair
+   that is still apart and possible.  Tiles beyond ``TILE_ROWS`` members are cut into pairs of
+   blocks.
 4. Surviving pairs are decided exactly on the sorted sets: 100 * intersection >= 80 * union.
 
 Pairs within a component that links already join aren't compared again, so a group of n copies
@@ -90,27 +91,50 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A hashed bitmap of at least one and a half times as many bits as shingles (256 to 524288).
+    """A hashed bitmap of at least three fifths as many bits as shingles (256 to 524288).
 
-    Two unrelated sets of one size then differ in a quarter of their shingles or more, and a link
-    allows a ninth; bitmaps are most of what tiles shuffle, so they are no wider than that needs.
+    A bit tells whether an odd number of shingles falls on it.  Two unrelated sets of one size then
+    differ in half of the bits, three tenths of their size or more, and a link allows two ninths;
+    bitmaps are most of what tiles shuffle, so they are no wider than that needs.
     """
-    bits = min(1 << 19, max(256, 1 << (3 * len(own) // 2 - 1).bit_length()))
-    out = np.zeros(bits, bool)
-    out[(own & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    bits = min(1 << 19, max(256, 1 << (3 * len(own) // 5 - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, the wider folded to the narrowest."""
-    words = min(map(len, maps)) // 8
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in maps])
+def folded(one: bytes, words: int) -> np.ndarray:
+    """A bitmap as a row of so many 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(one, np.uint64).reshape(-1, words), axis=0)
 
 
-def may_link(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
-    """Whether an overlap of four fifths of the union is possible, by the bits that one side lacks."""
-    most = np.minimum(n_a - only_a, n_b - only_b)
-    return 9 * most >= 4 * (n_a + n_b)
+def may_link(n_a: np.ndarray, n_b: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Whether an overlap of four fifths of the union is possible, by the bits in which bitmaps differ.
+
+    The overlap is (n_a + n_b - difference) / 2, and the difference is ``odd`` at least.
+    """
+    return n_a + n_b >= 9 * odd
+
+
+class Tile:
+    """The bitmaps of a tile's rows, folded to each width among them."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(m) // 8 for m in maps], np.int64)
+        self.rows = {}
+        for words in np.unique(self.words).tolist():
+            rows = self.rows[words] = np.zeros((len(maps), words), np.uint64)
+            for k in np.flatnonzero(self.words >= words).tolist():
+                rows[k] = folded(maps[k], words)
+
+    def odd(self, x: int, y: np.ndarray) -> np.ndarray:
+        """The bits in which row x differs from each of rows y, at the narrower one's width."""
+        out = np.zeros(len(y), np.int64)
+        width = np.minimum(self.words[x], self.words[y])
+        for words, rows in self.rows.items():
+            at = np.flatnonzero(width == words)
+            if len(at):
+                out[at] = np.bitwise_count(rows[x] ^ rows[y[at]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -232,9 +256,8 @@ def verified(pairs: DataFrame, bitmaps: DataFrame, speakers: DataFrame, docs: Da
             rows = batch.to_pydict()
             keep = []
             for n_a, n_b, x, y in zip(rows["n_a"], rows["n_b"], rows["sig_a"], rows["sig_b"], strict=True):
-                u, v = folded([x, y])
-                only_a, only_b = int(np.bitwise_count(u & ~v).sum()), int(np.bitwise_count(v & ~u).sum())
-                keep.append(bool(may_link(n_a, n_b, only_a, only_b)))
+                words = min(len(x), len(y)) // 8
+                keep.append(bool(may_link(n_a, n_b, int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +293,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame:
-    """a, b: pairs of different components in a tile that the bitmaps leave possible.
+    """a, b, rest: pairs of different components in a tile that the bitmaps leave possible.
 
     ``members`` has lo (the tile), cls, label and n.  Bitmaps are joined to members only where a
-    size band has another component.  ``best`` gives each class its likeliest partner only.
+    size band has another component.  ``best`` gives each class its likeliest partner only; where
+    it had others, rest is the tile.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     banded = members.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
@@ -287,25 +311,27 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame
     place = ["lo", "band", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            band, i, j = rows[0][1:4]
+        def tile(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            lo, band, i, j = rows[0][:4]
             block, own, cls, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4, 9))
-            sig = folded([r[9] for r in rows])
+            maps = Tile([r[9] for r in rows])
             right = np.flatnonzero(block == j)
             for x in np.flatnonzero(block == i).tolist():
                 y = right if i != j else right[right > x]
                 ok = (label[y] != label[x]) & ((own[y] == band) | (own[x] == band))
                 ok &= (5 * n[y] >= 4 * n[x]) & (5 * n[x] >= 4 * n[y])
                 y = y[ok]
+                odd = maps.odd(x, y)
+                ok = may_link(n[x], n[y], odd)
+                y, odd = y[ok], odd[ok]
                 if len(y):
-                    only_x = np.bitwise_count(sig[x] & ~sig[y]).sum(axis=1, dtype=np.int64)
-                    only_y = np.bitwise_count(sig[y] & ~sig[x]).sum(axis=1, dtype=np.int64)
-                    ok = may_link(n[x], n[y], only_x, only_y)
-                    if best and ok.any():
-                        ok = [np.where(ok, np.minimum(n[x] - only_x, n[y] - only_y) / (n[x] + n[y]), -1).argmax()]
-                    y = y[ok]
-                    if len(y):
-                        yield np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+                    others = best and len(y) > 1
+                    if others:
+                        y = y[[(odd / (n[x] + n[y])).argmin()]]
+                    yield np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y]), pa.array([lo if others else None] * len(y), pa.int64())
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)), pa.concat_arrays([o[2] for o in out])], names=["a", "b", "rest"])
 
         held: list[tuple] = []
         for batch in batches:
@@ -316,12 +342,12 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+                yield batch_of(out)
         out = list(tile(held)) if held else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+            yield batch_of(out)
 
-    return tiles.repartition(*place).sortWithinPartitions(*place).mapInArrow(compare, "a long, b long").distinct()
+    return tiles.repartition(*place).sortWithinPartitions(*place).mapInArrow(compare, "a long, b long, rest long").distinct()
 
 
 def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -338,21 +364,27 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     links = verified(stars, bitmaps, speakers, docs, "stars")
     label = None if links.isEmpty() else components(links)
     sized = staged(tiles.join(bitmaps.select("cls", "n"), "cls"), "sized-tiles")
+    todo = sized
     for best in (True, False):
         if label is None:
-            named = sized.withColumn("label", F.col("cls"))
+            named = todo.withColumn("label", F.col("cls"))
         else:
-            named = sized.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            named = todo.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         # one component needs no more links
         apart = named.groupBy("lo").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lo")
         members = staged(named.join(apart, "lo").select("lo", "cls", "label", "n"), "members")
         more = staged(_tile_pairs(members, bitmaps, best), "tile-pairs")
         if more.isEmpty():
             break
-        found = verified(more, bitmaps, speakers, docs, "tiles")
+        found = verified(more.select("a", "b").distinct(), bitmaps, speakers, docs, "tiles")
         if not found.isEmpty():
             links = links.unionByName(found)
             label = components(links)
+        # elsewhere every possible pair has been decided
+        rest = more.where("rest is not null").select(F.col("rest").alias("lo")).distinct()
+        if rest.isEmpty():
+            break
+        todo = sized.join(rest, "lo")
     return label
 
 
