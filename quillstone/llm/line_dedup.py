@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
+#: What the SQL of op1 says; the corpus pipeline lets shorter runs qualify.
 MIN_WORDS = 50
 _SPACE = " \t\n\x0b\x0c\r"
 
