@@ -6,8 +6,8 @@ columns of ``docs``; those may be any beside doc_id, text, lang and source.
 
 Defined results: a document without a letter goes in the first stage; one that consists of later
 copies only goes in the second; of a group of near copies, and of repeated rows, the one with the
-smallest doc_id stays; the mix gives a document as many rows as it is taken; an empty table stays
-empty.
+smallest doc_id stays, whether or not doc_ids repeat or are missing; the mix gives a document as
+many rows as it is taken; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -39,10 +39,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    kept = ngram_join.join_documents(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    here = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return here.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    """One row of each group of near copies: the one with the smallest doc_id, a null one last.
+
+    Rows are told by 64 bits of doc_id and text, so that a doc_id may stand on several texts or be
+    missing; of several texts under the smallest doc_id the one with the smallest key stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.join_documents(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group"))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key").alias("__kept"))
+    first = keyed.select("__key", "doc_id").distinct().join(groups.distinct(), "__key").groupBy("__group").agg(F.min(place).alias("__first"))
+    kept = first.select(F.col("__first.__kept").alias("__kept"))
+    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

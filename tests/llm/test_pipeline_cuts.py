@@ -23,3 +23,16 @@ def test_short_runs_of_lines_are_copies(spark):
     found = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, frame(spark, texts), "").collect()}
     wanted = dict(texts) | {2: "own two " + passage[0] + "\n" + passage[-1] + " own two end", 4: "fourth begins\nfourth ends"}
     assert found == wanted
+
+
+def test_one_row_of_each_group_stays_under_any_doc_ids(spark):
+    def text(name, tail=""):
+        return " ".join(f"{name}{i}" for i in range(60)) + tail
+
+    texts = [
+        (1, text("a")), (5, text("e")), (5, text("a", " near")),  # 5 keeps e, its copy of 1's text goes
+        (None, text("a", " too")), (None, text("n")), (None, text("n", " near")), (None, text("n")),  # one of n's rows stays
+        (7, text("s")), (7, text("s", " near")), (8, text("s")), (9, text("o")), (9, text("o")),
+    ]
+    found = [(r["doc_id"], r["text"].split()[0]) for r in corpus_pipeline.drop_near_copies(spark, frame(spark, texts), "").collect()]
+    assert sorted(found, key=str) == sorted([(1, "a0"), (5, "e0"), (None, "n0"), (7, "s0"), (9, "o0")], key=str)
