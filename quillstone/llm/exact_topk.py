@@ -13,8 +13,9 @@ The k-th best score that a query has met in earlier blocks of the task also stop
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no
 part; vectors of another length than the query's aren't candidates; repeated rows are candidates
-each for itself, but rows with the query's own vec_id are not; ties go to the smaller vec_id; an
-empty table gives no rows; other columns are ignored.
+each for itself, but rows with the query's own vec_id are not; repeated queries are answered each
+for itself, with k ranks each (the SQL ranks them together; no vec_id of the tables repeats); ties
+go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .vectors import blocks, read_block, usable
 
 #: Depths of reading, as shares of a list.
 DEPTHS = (1 / 64, 1 / 16, 1 / 6, 1 / 3)
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "q long, i int, query_id long, vec_id long, score long"
 
 
 def aggregate_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, depths: tuple[float, ...] = DEPTHS) -> list[np.ndarray]:
@@ -90,7 +91,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, query_block: int
                 query_ids, query = read_block(q_ids, q_data, dim)
                 floor = met.setdefault(q, np.full(len(query_ids), -np.inf))
                 own = query_ids[:, None] == row_ids[None, :]
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                out: list[tuple[np.ndarray, ...]] = []
                 for i, maybe in enumerate(aggregate_block(query, rows, own, k, floor)):
                     if not len(maybe):
                         continue
@@ -98,12 +99,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, query_block: int
                     best = best_of(row_ids[maybe], scores, k)
                     if len(best) == k:
                         floor[i] = max(floor[i], scores[best[-1]])
-                    out.append((np.full(len(best), query_ids[i]), row_ids[maybe][best], scores[best].astype(np.int64)))
+                    out.append((np.full(len(best), q), np.full(len(best), i, np.int32), np.full(len(best), query_ids[i]), row_ids[maybe][best], scores[best].astype(np.int64)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["q", "i", "query_id", "vec_id", "score"])
 
     found = paired.mapInArrow(search, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q", "i").orderBy(F.desc("score"), "vec_id")  # a row of the queries
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

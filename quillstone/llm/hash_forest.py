@@ -14,8 +14,9 @@ is little nearer than a hundred others, and fewer candidates lose it (figures in
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take
 no part; vectors of another length than the query's aren't candidates; repeated rows are
-candidates each for itself, but rows with the query's own vec_id are not; ties go to the smaller
-vec_id; an empty table gives no rows; other columns are ignored.
+candidates each for itself, but rows with the query's own vec_id are not; repeated queries are
+answered each for itself, with k ranks each; ties go to the smaller vec_id; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import staged, table
 from .vectors import blocks, read_block, usable
 
 TREES, BITS, TOP_LEVEL, SHARE, SEED = 64, 32, 3, 0.3, 20
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "q long, i int, query_id long, vec_id long, score double"
 
 
 class Forest:
@@ -90,7 +91,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, ids, data, q_ids, q_data in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "data", "q_ids", "q_data")), strict=True):
+            for q, dim, ids, data, q_ids, q_data in zip(*(batch.column(c).to_pylist() for c in ("q", "dim", "ids", "data", "q_ids", "q_data")), strict=True):
                 row_ids, rows = read_block(ids, data, dim)
                 query_ids, query = read_block(q_ids, q_data, dim)
                 norm, q_norm = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((query * query).sum(axis=1))
@@ -104,11 +105,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE
                     # the same order of additions for every row, so that equal vectors score alike
                     scores = (rows[maybe] * query[i]).sum(axis=1) / (norm[maybe] * q_norm[i])
                     best = np.lexsort((row_ids[maybe], -scores))[:k]
-                    out.append((np.full(len(best), query_ids[i]), row_ids[maybe][best], scores[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    out.append((np.full(len(best), q), np.full(len(best), i, np.int32), np.full(len(best), query_ids[i]), row_ids[maybe][best], scores[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["q", "i", "query_id", "vec_id", "score"])
 
     found = paired.mapInArrow(search, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q", "i").orderBy(F.desc("score"), "vec_id")  # a row of the queries
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
