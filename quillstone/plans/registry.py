@@ -123,7 +123,7 @@ def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pair_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    files = fixtures.table(spark, sf_dir, "documents").where(d % 13 != 0).select(F.floor(d / 2).alias("folder"), F.when(d % 2 == 0, "before").otherwise("after").alias("stem"), d.cast("string").alias("path"))
+    files = fixtures.table(spark, sf_dir, "documents").select(F.floor(d / 2).alias("folder"), F.when(d % 2 == 0, "before").otherwise("after").alias("stem"), F.when(d % 13 != 0, d.cast("string")).alias("path"))
     metas = fixtures.table(spark, sf_dir, "documents").select(F.floor(d / 2).alias("folder")).distinct()
     errors = validation.joined_errors(F.array_compact(F.array(*validation.missing_images(F.col("before"), F.col("after")))))
     return pairs.assemble(metas, files, ["folder"]).select("folder", "before", "after", errors.alias("errors"))
