@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bytes of text handled at once by the vectorised readers; bounds their memory.
 SLICE_BYTES = 2 << 20
 
@@ -20,27 +22,23 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) is one made and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged frames that nothing will read again; others are left alone."""
+    for df in frames:
+        path = vars(df).pop("staged_path", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +93,22 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
+def pieces(data: np.ndarray, breaks: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Spans of about ``most`` bytes that cover ``data``, each cut where ``breaks`` (a table by byte) allows it."""
+    first, n = 0, len(data)
+    while n - first > most:
+        end, step = first + most, 1 << 12
+        while end < n:
+            at = np.flatnonzero(breaks[data[end : end + step]])
+            if len(at):
+                end += int(at[0])
+                break
+            end, step = min(n, end + step), 2 * step
+        yield first, end
+        first = end
+    yield first, n
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     x = x.astype(np.uint64, copy=True)
@@ -107,30 +121,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of words by prefix sums of a polynomial in an odd base; with ``fold`` A-Z count as a-z."""
+    """64-bit hashes of words, eight bytes at a time; with ``fold`` A-Z count as a-z.
+
+    Each step scrambles what the last one left together with the next eight bytes, which isn't
+    linear in them, so that no two words collide but by chance.  Words of more than ``LONG`` bytes
+    go one by one through a keyed digest.
+    """
 
-    _base = 0x9E3779B97F4A7C15 | 1
+    LONG = 512
 
     def __init__(self, seed: int = 7, fold: bool = True):
-        rng = np.random.default_rng(seed)
-        self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.key = np.random.default_rng(seed).bytes(16)
+        self.seed = np.frombuffer(self.key, np.uint64)[0]
+        self.low = np.arange(256, dtype=np.uint8)
         if fold:
-            self.byte[65:91] = self.byte[97:123]
-        self.powers = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) >= n:
-            return
-        size = max(n, 1 << 16)
-        for name, base in (("powers", self._base), ("inverse", pow(self._base, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            setattr(self, name, np.multiply.accumulate(steps))
+            self.low[65:91] += 32
+        self.fold = fold
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.byte[data] * self.powers[: len(data)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.inverse[starts]
-        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = self.low[data] if self.fold else data
+        eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+        size = ends - starts
+        h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ self.seed
+        here = np.arange(len(size))
+        if len(size) and size.max() > self.LONG:
+            for i in np.flatnonzero(size > self.LONG).tolist():
+                h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].data, digest_size=8, key=self.key).digest(), "little")
+            here = np.flatnonzero(size <= self.LONG)
+        at, left = starts[here], size[here]
+        k = 0
+        while len(here):
+            chunk = eight[at + k]
+            short = left - k < 8
+            if short.any():
+                chunk[short] &= (np.uint64(1) << ((left[short] - k).astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+            h[here] = mix64(h[here] ^ chunk)
+            k += 8
+            more = left > k
+            here, at, left = here[more], at[more], left[more]
+        return h

@@ -11,7 +11,7 @@ characters each, are learned from; every text is scored whole, in windows of ``W
 
 Defined results: null and empty texts score as the features' zero point, which the fit learns as
 one bad example more; without labels of both classes the score is the share of good labels, or
-0.5 without any; repeated labels count each; an empty table gives no rows; other columns are
+0.5 without any; a label that is repeated counts once; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import is_held_out, table, text_slices
-from .learning import fit_logistic, logistic, sample_by_class
+from .learning import fit_logistic, labelled_texts, logistic
 
 WINDOW, LEVEL, DICT_BYTES = 4096, 3, 64 << 10
 PER_CLASS, MAX_CHARS = 1200, 20_000
@@ -83,9 +83,8 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """Fit on a bounded sample of ``labels`` (doc_id, quality) joined to ``docs`` (doc_id, text)."""
-    chosen = sample_by_class(labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "quality", "doc_id", per_class)
-    # at most about 2 * per_class ids, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
+    short = docs.where(F.length("text").between(1, max_chars))
+    rows = labelled_texts(short, labels, "quality", per_class, "quality-sample").collect()  # at most about 2 * per_class rows of max_chars
     rows.sort()
     texts = [(r["quality"], r["text"].encode()) for r in rows]
     return Model([t for q, t in texts if q == 1], [t for q, t in texts if q == 0])

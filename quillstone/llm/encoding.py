@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import _IS_WORD, WordHasher, word_spans
+from .common import _IS_WORD, SLICE_BYTES, WordHasher, pieces, word_spans
 
 #: Units whose ids a worker remembers before it starts anew; bounds its memory (about 40 bytes each).
 CACHE_UNITS = 2_000_000
@@ -37,7 +37,9 @@ class WordEncoder:
     The vocabulary's normaliser and splitter never join what ASCII white space parts, nor
     letters, digits and ASCII symbols with one another.  So the ids of a text are those of such
     units in turn; the library encodes each distinct unit once.  A word with any byte of which
-    this isn't certain is a unit as a whole.  Units are told apart by 128 bits of hash.
+    this isn't certain is a unit as a whole.  Units of a text are told apart by their first eight
+    bytes and length or by 128 bits of hash, and one that shares 64 of them with another is asked
+    for by itself.  Long texts are encoded piece by piece, cut at white space.
     """
 
     def __init__(self, path: str):
@@ -122,30 +124,48 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and where each text's ids begin (one more for the end)."""
+        if len(at) != 2 or len(data) <= 2 * SLICE_BYTES:
+            return self._encode(data, at)
+        found = [self._encode(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data, ~_IS_WORD)]
+        ids = np.concatenate(found)
+        return ids, np.array([0, len(ids)])
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, starts, ends, units_at, odd = self._units(data, at)
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(len(at), np.int64)
-        seen = pa.array(self.hashers[0](low, starts, ends)).dictionary_encode()
+        hashed = self.hashers[0](low, starts, ends)
+        seen = pa.array(hashed).dictionary_encode()
         key, which = seen.dictionary.to_numpy(), seen.indices.to_numpy()
         example = np.empty(len(key), np.int64)
         example[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         second = self.hashers[1](low, starts[example], ends[example])
+        # the first hash holds up to eight bytes of a length without loss; longer units are compared with their example
+        size = ends - starts
+        long = np.flatnonzero(size > 8)
+        other = np.union1d(long[self.hashers[1](low, starts[long], ends[long]) != second[which[long]]], np.flatnonzero(size != size[example][which]))
         if len(self.key) > CACHE_UNITS:
             self._forget()
         where, known = self._find(key, second)
+        text = low.tobytes()
         if not known.all():
             new = np.flatnonzero(~known)
-            text = low.tobytes()
+            if len(self.key):
+                new = new[self.key[where[new]] != key[new]]
             spans = zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)
             self._learn([text[a:b] for a, b in spans], odd[example[new]], key[new], second[new])
             where, known = self._find(key, second)
-            if not known.all():
-                raise ValueError("two units share a hash")
-        first, length = self.first[where][which], self.length[where][which]
+        first, length, ids = self.first[where][which], self.length[where][which], self.ids
+        clash = np.union1d(other, np.flatnonzero(~known[which])) if len(other) or not known.all() else other
+        if len(clash):  # two units of one hash: these are asked for by themselves and not remembered
+            more, size = self._ask([text[starts[i] : ends[i]].decode("utf-8", "replace") for i in clash.tolist()])
+            length[clash] = size
+            first[clash] = len(ids) + np.cumsum(size) - size
+            ids = np.concatenate([ids, more])
         ends_at = np.cumsum(length)
         taken = np.repeat(first - (ends_at - length), length)
         taken += np.arange(len(taken))
-        return self.ids[taken], np.concatenate([[0], ends_at])[units_at]
+        return ids[taken], np.concatenate([[0], ends_at])[units_at]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -15,7 +15,7 @@ aren't learned from; other columns pass through ``identify`` untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out, raw_text, table, text_slices
+from .common import SLICE_BYTES, is_held_out, table, text_slices
 from .learning import fit_svm, ragged_sums, sample_by_class
 
 #: ISO 639-1 codes by family.
@@ -60,49 +60,63 @@ def gram_buckets(data: np.ndarray, order: int) -> np.ndarray:
 def mean_margins(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each text the mean over its n-grams of each machine's weight (rows: buckets)."""
     sums = np.zeros((len(at) - 1, weights.shape[1]))
-    for order in range(1, ORDERS + 1):
-        which = gram_buckets(data, order)
-        for j in range(weights.shape[1]):
-            sums[:, j] += ragged_sums(weights[:, j][which], at)
+    # one long text goes in steps, each with the few bytes that its last n-grams reach into
+    step = len(data) if len(at) != 2 else SLICE_BYTES
+    for first in range(0, len(data), max(1, step)):
+        part = data[first : first + step + ORDERS - 1]
+        n = min(step, len(data) - first)
+        for order in range(1, ORDERS + 1):
+            which = gram_buckets(part, order)[:n]
+            for j in range(weights.shape[1]):
+                sums[:, j] += ragged_sums(weights[:, j][which], at if n == len(data) else np.array([0, n]))
     return sums / np.maximum(1, ORDERS * np.diff(at))[:, None]
 
 
 def features(texts: list[str]) -> np.ndarray:
-    data, at = raw_text(pa.array(texts, pa.string()))
+    """The machines' features: scaled means, by bucket."""
     out = np.zeros((len(texts), ORDERS << BITS), np.float32)
-    for order in range(1, ORDERS + 1):
-        which = gram_buckets(data, order)
-        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            out[i] += np.bincount(which[a:b], minlength=ORDERS << BITS)
-    return out / np.maximum(1, ORDERS * np.diff(at))[:, None]
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        for order in range(1, ORDERS + 1):
+            out[i] += np.bincount(gram_buckets(data, order), minlength=ORDERS << BITS)
+        out[i] *= SCALE / max(1, ORDERS * len(data))
+    return out
 
 
 #: Features are means over buckets; this brings them to the size that the machines expect.
 SCALE = 100.0
 
 
+def tree_of(langs: Iterable[str]) -> dict[str, list[str]]:
+    """Families and their languages, in order."""
+    tree: dict[str, list[str]] = {}
+    for lang in sorted(set(langs)):
+        tree.setdefault(family_of(lang), []).append(lang)
+    return dict(sorted(tree.items()))
+
+
+def fit_machines(texts: list[str], langs: list[str]) -> Iterator[tuple[str | None, str, str, np.ndarray]]:
+    """(group, a, b, machine) of each pair of families (group None) and of languages within each family."""
+    tree = tree_of(langs)
+    x = features(texts)
+    own = np.array(langs)
+    kin = np.array([family_of(x) for x in langs])
+    for group, names, of in [(None, list(tree), kin), *((f, names, own) for f, names in tree.items())]:
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                rows = np.flatnonzero((of == a) | (of == b))
+                yield group, a, b, fit_svm(x, rows, np.where(of[rows] == a, 1.0, -1.0)).astype(np.float32)
+
+
 class Model:
     """Pairs of classes and their machines, for families (None) and within each family."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
-        self.tree: dict[str, list[str]] = {}
-        for lang in self.langs:
-            self.tree.setdefault(family_of(lang), []).append(lang)
-        x = features(texts).astype(np.float64) * SCALE if texts else np.zeros((0, ORDERS << BITS))
-        own = np.array(langs)
-        kin = np.array([family_of(x) for x in langs])
-        self.pairs: list[tuple[str | None, str, str]] = []
-        columns = []
-        for group, names, of in [(None, sorted(self.tree), kin), *((f, names, own) for f, names in sorted(self.tree.items()))]:
-            for i, a in enumerate(names):
-                for b in names[i + 1 :]:
-                    rows = (of == a) | (of == b)
-                    columns.append(fit_svm(x[rows], np.where(of[rows] == a, 1.0, -1.0)))
-                    self.pairs.append((group, a, b))
-        machines = np.array(columns).reshape(len(columns), (ORDERS << BITS) + 1)
-        self.weights = (machines[:, :-1].T * SCALE).astype(np.float32) if len(columns) else np.zeros((ORDERS << BITS, 0), np.float32)
-        self.intercepts = machines[:, -1] if len(columns) else np.zeros(0)
+    def __init__(self, langs: Iterable[str], machines: list[tuple[str | None, str, str, np.ndarray]]):
+        self.tree = tree_of(langs)
+        self.pairs = [m[:3] for m in machines]
+        both = np.array([m[3] for m in machines], np.float32).reshape(len(machines), (ORDERS << BITS) + 1)
+        self.weights = np.ascontiguousarray(both[:, :-1].T) * np.float32(SCALE)
+        self.intercepts = both[:, -1].astype(np.float64)
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
         margins = mean_margins(data, at, self.weights) + self.intercepts
@@ -120,7 +134,7 @@ class Model:
             best = votes.argmax(axis=1)
             return best, sure[np.arange(len(best)), best]
 
-        families = sorted(self.tree)
+        families = list(self.tree)
         family, score = choose(None, families)
         lang = np.empty(len(at) - 1, object)
         for f, name in enumerate(families):
@@ -141,11 +155,26 @@ def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
-    """Fit the machines on a bounded sample of ``docs`` (doc_id, text, lang)."""
+    """Fit the machines on a bounded sample of ``docs`` (doc_id, text, lang).
+
+    One task reads the sample and fits, so that the driver holds no text and no feature, only
+    ``ORDERS << BITS`` numbers a machine.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
-    rows = sample_by_class(usable.select("doc_id", "text", "lang"), "lang", "doc_id", per_language).select("text", "lang").collect()
-    rows.sort()
-    return Model([r[0] for r in rows], [r[1] for r in rows])
+    sample = sample_by_class(usable.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], per_language).select("text", "lang")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        langs = [r[1] for r in rows]
+        names = ["family", "a", "b", "machine"]
+        for lang in sorted(set(langs)):
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([lang]), pa.array([None], pa.string()), pa.array([None], pa.binary())], names=names)
+        for group, a, b, machine in fit_machines([r[0] for r in rows], langs):
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.string()), pa.array([a]), pa.array([b]), pa.array([machine.tobytes()], pa.binary())], names=names)
+
+    found = sample.repartition(1).mapInArrow(fit, "family string, a string, b string, machine binary").collect()  # a row for each language and machine
+    machines = [(r["family"], r["a"], r["b"], np.frombuffer(r["machine"], np.float32)) for r in found if r["machine"] is not None]
+    return Model([r["a"] for r in found if r["machine"] is None], machines)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,7 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in text_slices(batch.column(at_text)):
-                if model.langs:
+                if model.tree:
                     langs, score = model.predict(data, at)
                     lettered = has_letter(data, at)
                 else:

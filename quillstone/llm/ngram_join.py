@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, staged, table, text_slices, word_spans
+from .common import _IS_WORD, SLICE_BYTES, WordHasher, mix64, pieces, staged, table, text_slices, word_spans
 
 WORDS = 5
 #: Frequent shingles that are ordered last; the list is bounded and sent to the workers.
@@ -52,22 +52,35 @@ TILE_ROWS = 2048
 BROADCAST_CLASSES = 200_000
 
 _hasher = WordHasher(7)
+RUN_STEP = 1 << 18
 _PLACE = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words' hashes, and where each text's words begin; one long text is hashed piece by piece."""
+    if len(at) != 2 or len(data) <= 2 * SLICE_BYTES:
+        starts, ends, words_at = word_spans(data, at)
+        return _hasher(data, starts, ends), words_at
+    found = [word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data, ~_IS_WORD)]
+    h = np.concatenate(found)
+    return h, np.array([0, len(h)])
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """Each text's set of shingles as a sorted array of 64-bit hashes."""
-    starts, ends, words_at = word_spans(data, at)
-    h = _hasher(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    h, words_at = word_hashes(data, at)
     run = np.zeros(max(0, len(h) - words + 1), np.uint64)
-    for j in range(words):
-        run += h[j : j + len(run)] * _PLACE[j % len(_PLACE)]
-    run = mix64(run)
+    for first in range(0, len(run), RUN_STEP):  # in steps, lest a long text needs its hashes many times over
+        part = run[first : first + RUN_STEP]
+        for j in range(words):
+            part += h[first + j : first + j + len(part)] * _PLACE[j % len(_PLACE)]
+        part[:] = mix64(part)
     out = []
     for a, b in zip(words_at[:-1].tolist(), words_at[1:].tolist(), strict=True):
         n = b - a
         if n >= words:
-            own = np.sort(run[a : b - words + 1])
+            own = run[a : b - words + 1].copy()
+            own.sort()
             keep = np.ones(len(own), bool)
             keep[1:] = own[1:] != own[:-1]
             out.append(own[keep])

@@ -5,17 +5,18 @@ bytes) between toxic and clean labelled texts, estimated under a Dirichlet prior
 where its z-score is at least ``LEAST_Z``; any other word scores ``-DRIFT``.  A linear-time scan finds all
 maximal-scoring segments of a text.  By extreme-value theory a segment of score S in a text of m
 words has E = K m exp(-lambda S) equals by chance, lambda solving the equation that makes the
-scores' exponential mean 1 over clean text; passages with 1 - exp(-E) <= ``SIGNIFICANT`` are
+scores' exponential mean 1 over clean text and K counted over clean texts; passages with 1 - exp(-E) <= ``SIGNIFICANT`` are
 reported, and best passage, number of passages and their share of the text are turned into a
 probability by a logistic fit.
 
 Counts come from about ``PER_CLASS`` labelled documents of each class (a hash of doc_id holds a
-quarter back for the logistic fit); each unit counts once a document.  Every text is scanned
-whole; only the scores of at most ``UNITS`` units are sent to the workers.
+quarter back for K and the logistic fit); each unit counts once a document.  Units below
+``LEAST_Z`` keep no log-odds, as those are shrunk to 0.  Every text is scanned whole, a long one
+piece by piece.
 
 Defined results: null and empty texts have no passages and the score of a text without any;
 without labels of both classes the score is the share of toxic labels, or 0 without any;
-repeated labels count each; an empty table gives no rows; other columns are ignored.
+a label that is repeated counts once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, is_held_out, staged, table, text_slices
-from .learning import fit_logistic, logistic, sample_by_class
+from .common import SLICE_BYTES, WordHasher, discard, is_held_out, pieces, staged, table, text_slices
+from .learning import fit_logistic, labelled_texts, logistic
 
-PER_CLASS, UNITS, PRIOR, LEAST_Z, LEAST_TEXTS, DRIFT, K = 8000, 20_000, 0.5, 3.0, 3, 0.5, 0.1
-SIGNIFICANT = 0.05
+PER_CLASS, PRIOR, LEAST_Z, LEAST_TEXTS, DRIFT = 8000, 0.5, 3.0, 3, 0.5
+#: The scaled score from which clean texts' segments are counted to learn how many chance makes.
+TAIL, SIGNIFICANT = 3.0, 0.05
 PREFIXES = (4, 5, 6)
 _KIND = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LETTER = np.zeros(256, bool)
@@ -130,6 +132,7 @@ class Model:
             mean = (1 - min(0.9, share.sum())) * np.exp(-mid * DRIFT) + (share * np.exp(np.minimum(mid * self.score, 600))).sum()
             low, high = (mid, high) if mean < 1 else (low, mid)
         self.rate = low
+        self.k = 1.0
         self.fit: np.ndarray | None = None
         self.prior = 0.0
 
@@ -141,25 +144,38 @@ class Model:
                 best = np.where(self.key[where] == unit, np.maximum(best, self.score[where]), best)
         return best
 
+    def hits(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Number, score, start and end of the words of positive score, and where each text's words begin."""
+        if len(at) != 2 or len(data) <= 2 * SLICE_BYTES:
+            starts, ends, words_at = letter_words(data, at)
+            scores = self.word_scores(data, starts, ends)
+            own = np.flatnonzero(scores > 0)
+            return own, scores[own], starts[own], ends[own], words_at
+        parts, words = [], 0
+        for a, b in pieces(data, ~_LETTER):  # one long text
+            own, scores, starts, ends, words_at = self.hits(data[a:b], np.array([0, b - a]))
+            parts.append((own + words, scores, starts + a, ends + a))
+            words += int(words_at[1])
+        return *(np.concatenate(x) for x in zip(*parts, strict=True)), np.array([0, words])
+
     def scan(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
         """For each text its features and its significant passages (byte offsets, score, p)."""
-        starts, ends, words_at = letter_words(data, at)
-        scores = self.word_scores(data, starts, ends)
-        hits = np.flatnonzero(scores > 0)
+        hits, scores, starts, ends, words_at = self.hits(data, at)
         hits_at = np.searchsorted(hits, words_at)
         x = np.zeros((len(at) - 1, 3))
         passages: list[list[dict]] = [[] for _ in range(len(at) - 1)]
         for i in np.flatnonzero(np.diff(hits_at)).tolist():
-            own = hits[hits_at[i] : hits_at[i + 1]]
+            own = slice(hits_at[i], hits_at[i + 1])
             base, m = words_at[i], words_at[i + 1] - words_at[i]
-            found = maximal_segments(own - base, scores[own])
+            found = maximal_segments(hits[own] - base, scores[own])
+            begin, end = dict(zip((hits[own] - base).tolist(), starts[own].tolist(), strict=True)), dict(zip((hits[own] - base).tolist(), ends[own].tolist(), strict=True))
             for a, b, score in found:
-                chance = K * m * np.exp(-min(600.0, self.rate * score))
+                chance = self.k * m * np.exp(-min(600.0, self.rate * score))
                 p = -np.expm1(-chance)
                 if p <= SIGNIFICANT:
-                    passages[i].append({"start": int(starts[base + a] - at[i]), "end": int(ends[base + b] - at[i]), "score": float(score), "p": float(p)})
+                    passages[i].append({"start": int(begin[a] - at[i]), "end": int(end[b] - at[i]), "score": float(score), "p": float(p)})
             best = max(s for _, _, s in found)
-            x[i] = self.rate * best - np.log(K * m), np.log1p(len(passages[i])), 1.0
+            x[i] = self.rate * best - np.log(self.k * m), np.log1p(len(passages[i])), 1.0
         return x, passages
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -168,30 +184,49 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on a bounded sample of ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text)."""
-    chosen = sample_by_class(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic"), "toxic", "doc_id", per_class)
     back = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4)) == 0
-    # at most about 2 * per_class ids, so the broadcast is bounded
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("back", back)), "doc_id").select("text", "toxic", "back"), "toxic-sample")
+    sample = labelled_texts(docs, labels, "toxic", per_class, "toxic-sample").withColumn("back", back)
     sizes = {(r["toxic"], r["back"]): r["n"] for r in sample.groupBy("toxic", "back").agg(F.count("*").alias("n")).collect()}
     counted = staged(count_units(sample.where(~F.col("back")).dropDuplicates(["text"])), "toxic-units")
     totals = counted.agg(F.sum("clean"), F.sum("toxic")).first()
     clean, toxic = (int(x or 0) for x in totals)
     odds = F.log((F.col("toxic") + PRIOR) / (toxic + PRIOR)) - F.log((F.col("clean") + PRIOR) / (clean + PRIOR))
     z = odds / F.sqrt(1 / (F.col("toxic") + PRIOR) + 1 / (F.col("clean") + PRIOR))
-    rows = counted.where((F.col("toxic") >= LEAST_TEXTS) & (z >= LEAST_Z) & (odds > 2 * DRIFT)).orderBy(z.desc(), "key").limit(UNITS).collect()
+    # the sample is bounded, and so are the units in it; of those few are so much likelier in toxic texts
+    rows = counted.where((F.col("toxic") >= LEAST_TEXTS) & (z >= LEAST_Z) & (odds > 2 * DRIFT)).collect()
+    discard(counted)
     model = Model(*(np.array([r[c] for r in rows], np.int64) for c in ("key", "clean", "toxic")), clean, toxic)
     n = sum(sizes.values())
     model.prior = sum(v for (t, _), v in sizes.items() if t == 1) / n if n else 0.0
     if all(sum(v for (t, _), v in sizes.items() if t == c) for c in (0, 1)):
+        chance = chance_segments(sample.where("toxic = 0").where("back" if sizes.get((0, True)) else "true"), model).agg(F.sum("words"), F.sum("segments")).first()
+        # as many segments of TAIL as clean texts have, and half a one more
+        model.k = min(1.0, (int(chance[1] or 0) + 0.5) * float(np.exp(TAIL)) / max(1, int(chance[0] or 0)))
         fitted = "back" if all(sizes.get((c, True)) for c in (0, 1)) else "true"
         seen = features_of(sample.where(fitted).select("toxic", "text"), model).collect()  # at most about per_class / 2 rows of numbers
         seen.sort()
+        discard(sample)
         # one passage-free clean and one certain toxic example more keep the fit finite
         x = np.array([r["x"] for r in seen] + [[0.0, 0.0, 0.0], [20.0, np.log(2.0), 1.0]])
         model.fit = fit_logistic(x, np.array([float(r["toxic"]) for r in seen] + [0.0, 1.0]))
     return model
 
 
+def chance_segments(docs: DataFrame, model: Model) -> DataFrame:
+    """words, segments: of each text how many words it has and how many segments of at least ``TAIL``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in text_slices(batch.column(0)):
+                hits, scores, _, _, words_at = model.hits(data, at)
+                hits_at = np.searchsorted(hits, words_at)
+                found = [maximal_segments(hits[a:b], scores[a:b]) for a, b in zip(hits_at[:-1], hits_at[1:], strict=True)]
+                count = [sum(model.rate * s >= TAIL for _, _, s in x) for x in found]
+                yield pa.RecordBatch.from_pydict({"words": pa.array(np.diff(words_at), pa.int64()), "segments": pa.array(count, pa.int64())})
+
+    return docs.select("text").mapInArrow(scan, "words long, segments long")
+
+
 def features_of(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
