@@ -2,20 +2,20 @@
 
 Within a block of vectors every dimension is a list sorted by its component.  A query reads the
 lists with a positive weight from the top and those with a negative weight from the bottom, all
-to the same depth.  What it has read gives each vector a lower and an upper bound of its score:
-an unread component lies between the list's far end and the place where reading stands.  Once k
-lower bounds are no smaller than every outsider's upper bound, reading stops; deeper rounds go on
-only with the vectors still in question, and the last step resolves their scores exactly.  Bounds
-of a block of queries are two matrix products a round; all numbers are integers below 2**53, so
-doubles hold them exactly.
+to the same depth.  What it has read of a vector is summed up; a component not read yet lies
+between the list's far end and the place where reading stands, which bounds the vector's score
+from below and above.  Reading goes on, the unread rest of the lists halving with every round,
+until no more than ``LEAST_LEFT`` times k vectors can still reach the k-th best lower bound;
+vectors that can't are read no further.  The few that are left are resolved exactly.  Queries go
+``TOGETHER`` at a time; all numbers are integers below 2**53, so doubles hold them exactly.
 
 The k-th best score that a query has met in earlier blocks of the task also stops its reading.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no
 part; vectors of another length than the query's aren't candidates; repeated rows are candidates
 each for itself, but rows with the query's own vec_id are not; repeated queries are answered each
-for itself, with k ranks each (the SQL ranks them together; no vec_id of the tables repeats); ties
-go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
+for itself, with k ranks each; ties go to the smaller vec_id; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,64 +24,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
-from .vectors import blocks, read_block, usable
+from .common import table
+from .vectors import blocks, ranked, read_block, usable, with_queries
 
-#: Depths of reading, as shares of a list.
-DEPTHS = (1 / 64, 1 / 16, 1 / 6, 1 / 3)
+#: Vectors in question, as a multiple of k, at which reading ends.
+LEAST_LEFT = 2
+#: Rows of one set of sorted lists, and queries that read them together.
+LIST_ROWS, TOGETHER = 16_384, 64
 FOUND = "q long, i int, query_id long, vec_id long, score long"
 
 
-def aggregate_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, depths: tuple[float, ...] = DEPTHS) -> list[np.ndarray]:
-    """For each query the row numbers that may be among its k best, ties included.
-
-    ``own`` marks (query, row) pairs that aren't candidates; ``floor`` holds for each query a
-    score that k candidates elsewhere reach.
-    """
-    n, dim = rows.shape
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    sorted_lists = np.sort(rows, axis=0)
-    least, most = sorted_lists[0], sorted_lists[-1]
-    alive = ~own
-    kth = floor.astype(np.float64)
-    columns = np.arange(n)
-    for depth in depths:
-        read = min(n - 1, int(n * depth))
-        top, bottom = sorted_lists[n - 1 - read], sorted_lists[read]
-        part = rows[columns]
-        # a component not read yet lies beyond the place where reading stands
-        upper = up @ np.maximum(part, top).T + down @ np.minimum(part, bottom).T
-        lower = up @ np.where(part >= top, part, least).T + down @ np.where(part <= bottom, part, most).T
-        live = alive[:, columns]
-        lower[~live] = -np.inf
-        if len(columns) >= k:
-            kth = np.maximum(kth, np.partition(lower, len(columns) - k, axis=1)[:, len(columns) - k])
-        alive[:, columns] = live & (upper >= kth[:, None])
-        columns = np.flatnonzero(alive.any(axis=0))
-        if not len(columns) or alive.sum() <= 4 * k * len(queries):
-            break
-    return [np.flatnonzero(row) for row in alive]
+class Lists:
+    """A block of vectors as one sorted list for each dimension."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        self.n, self.dim = rows.shape
+        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        self.place = np.empty_like(self.order)
+        np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+
+    def in_question(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], int]:
+        """For each query the row numbers that may be among its k best, ties included, and the depth read.
+
+        ``own`` marks (query, row) pairs that aren't candidates; ``floor`` holds for each query a
+        score that k candidates elsewhere reach.
+        """
+        who, queries = np.arange(len(queries)), queries.astype(np.float64)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(who)
+        least, most = self.sorted[0], self.sorted[-1]
+        known, alive, kth = np.zeros((self.n, len(who))), ~own.T, floor.astype(np.float64)
+        here, read = np.arange(self.n), 0
+        while len(who):
+            up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+            wanted = np.zeros(self.n, bool)
+            wanted[here] = True
+            depth = read + (self.n - read + 1) // 2
+            for d in range(self.dim):
+                top, bottom = self.order[self.n - depth : self.n - read, d], self.order[read:depth, d]
+                top, bottom = top[wanted[top]], bottom[wanted[bottom]]
+                known[top] += self.rows[top, d][:, None] * up[:, d]
+                known[bottom] += self.rows[bottom, d][:, None] * down[:, d]
+            read = depth
+            upper = lower = known[here]
+            if read < self.n:
+                # a component not read yet lies beyond the place where reading stands
+                high = (self.place[here] < self.n - read).astype(np.float64)
+                low = (self.place[here] >= read).astype(np.float64)
+                upper = known[here] + high @ (up * self.sorted[self.n - read]).T + low @ (down * self.sorted[read - 1]).T
+                lower = known[here] + high @ (up * least).T + low @ (down * most).T
+            live = alive[here]
+            if len(here) >= k:
+                kth = np.maximum(kth, np.partition(np.where(live, lower, -np.inf), len(here) - k, axis=0)[len(here) - k])
+            live &= upper >= kth
+            open_ = (live.sum(axis=0) > LEAST_LEFT * k) & (read < self.n)
+            for i in np.flatnonzero(~open_).tolist():
+                out[who[i]] = here[live[:, i]]
+            alive = np.zeros((self.n, int(open_.sum())), bool)
+            alive[here] = live[:, open_]
+            who, queries, known, kth = who[open_], queries[open_], known[:, open_], kth[open_]
+            here = here[live[:, open_].any(axis=1)]
+        return out
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = 512) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score for the k best of ``vectors`` by integer inner product.
 
-    Both frames have vec_id and an integer ``embedding``.  Blocks of queries meet blocks of rows
-    by an equality join on the number of the query block, so tasks grow in number and not in size.
+    Both frames have vec_id and an integer ``embedding``.
     """
-    asked = staged(blocks(queries.withColumn("embedding", F.col("embedding").cast("array<double>")), query_block).withColumn("q", F.monotonically_increasing_id()), "query-blocks")
-    sides = [r["q"] for r in asked.select("q").collect()]  # one number per query block
-    if not sides:
+    doubles = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    paired = with_queries(blocks(doubles(vectors), LIST_ROWS), doubles(queries), "query-blocks")
+    if paired is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    held = blocks(vectors)
-    paired = held.withColumn("q", F.explode(F.lit(sides))).join(asked.select("q", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "q").where("dim = q_dim")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, np.ndarray] = {}
@@ -90,22 +112,20 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, query_block: int
                 row_ids, rows = read_block(ids, data, dim)
                 query_ids, query = read_block(q_ids, q_data, dim)
                 floor = met.setdefault(q, np.full(len(query_ids), -np.inf))
-                own = query_ids[:, None] == row_ids[None, :]
+                lists = Lists(rows)
                 out: list[tuple[np.ndarray, ...]] = []
-                for i, maybe in enumerate(aggregate_block(query, rows, own, k, floor)):
-                    if not len(maybe):
-                        continue
-                    scores = rows[maybe] @ query[i]
-                    best = best_of(row_ids[maybe], scores, k)
-                    if len(best) == k:
-                        floor[i] = max(floor[i], scores[best[-1]])
-                    out.append((np.full(len(best), q), np.full(len(best), i, np.int32), np.full(len(best), query_ids[i]), row_ids[maybe][best], scores[best].astype(np.int64)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["q", "i", "query_id", "vec_id", "score"])
-
-    found = paired.mapInArrow(search, FOUND)
-    order = Window.partitionBy("q", "i").orderBy(F.desc("score"), "vec_id")  # a row of the queries
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for first in range(0, len(query_ids), TOGETHER):
+                    part = slice(first, first + TOGETHER)
+                    own = query_ids[part, None] == row_ids[None, :]
+                    for i, maybe in enumerate(lists.in_question(query[part], own, k, floor[part]), first):
+                        scores = rows[maybe] @ query[i]
+                        best = best_of(row_ids[maybe], scores, k)
+                        if len(best) == k:
+                            floor[i] = max(floor[i], scores[best[-1]])
+                        out.append((np.full(len(best), q), np.full(len(best), i, np.int32), np.full(len(best), query_ids[i]), row_ids[maybe][best], scores[best].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["q", "i", "query_id", "vec_id", "score"])
+
+    return ranked(paired.mapInArrow(search, FOUND), k)
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +135,14 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
   from embeddings
   where embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.n, q.vec_id as query_id, c.vec_id,
     cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
   from (select * from v where vec_id % 100 = 0) q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+r as (select *, row_number() over (partition by n order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """

@@ -135,10 +135,10 @@ def test_vectors(spark):
     top = exact_topk.exact_topk(good, good.where("vec_id % 100 = 0"), 3).where("query_id = 0").orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in top] == [(100, 5), (1, 1), (2, 1)]
     some = df.where(usable()).where(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
-    near = hash_forest.nearest(some, some.where("vec_id = 0"), 3).orderBy("rank").collect()
+    near = hash_forest.nearest(hash_forest.index(some), some.where("vec_id = 0"), 3).orderBy("rank").collect()
     assert [r["vec_id"] for r in near][:2] == [1, 2] and near[0]["score"] == 1.0
     none = some.where("false")
-    assert exact_topk.exact_topk(none, none, 3).count() == 0 and hash_forest.nearest(none, none, 3).count() == 0
+    assert exact_topk.exact_topk(none, none, 3).count() == 0 and hash_forest.nearest(hash_forest.index(none), none, 3).count() == 0
 
 
 def test_pipeline_stages(spark, docs, nothing):
