@@ -2,11 +2,12 @@
 
 The lengths of all pieces form a histogram of at most ``capacity`` entries, whatever the corpus
 holds.  A configuration (pattern) is a multiset of lengths that fit one sequence.  The linear
-program "use as few patterns as cover the histogram" is solved by multiplicative weights: each
-round prices lengths, an unbounded-knapsack dynamic program finds the best pattern, and the
-prices of what it covers fall.  The average of the rounds is rounded down; what is left goes
-best-fit decreasing.  The plan is a few thousand pattern slots, each a run of ranks within a
-length, so that every piece finds its place by arithmetic on its own rank.
+program "use as few patterns as cover the histogram" is solved by multiplicative weights on the
+prices of its lengths, an unbounded-knapsack dynamic program finding the best patterns of each
+round; every round also bounds from below how few sequences any packing needs.  The prices then
+guide the rounding: patterns of most worth are used in whole numbers while stock lasts, and what
+is left goes best-fit decreasing.  The plan is a few thousand pattern slots, each a run of ranks
+within a length, so that every piece finds its place by arithmetic on its own rank.
 
 Defined results: a null or empty text is one piece of the end id; repeated rows are packed each
 for itself; an empty table gives no rows; other columns are ignored.
@@ -27,7 +28,8 @@ from . import encoding
 from .common import staged, table, text_slices
 
 CAPACITY = 2048
-ROUNDS = 150
+#: Rounds of weights; leans of the rounding; how far above the program's bound a plan is taken at once.
+ROUNDS, LEANS, GOOD_ENOUGH = 60, (0.3, 0.1, 1.0), 0.003
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
 
@@ -73,70 +75,111 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
 
 
-def price_pattern(lengths: np.ndarray, value: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of at most ``capacity`` with the highest value (unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    sizes, worth = lengths[order], value[order]
-    for c in range(int(sizes[0]) if len(sizes) else capacity + 1, capacity + 1):
-        fit = int(np.searchsorted(sizes, c, "right"))
-        total = best[c - sizes[:fit]] + worth[:fit]
-        k = int(total.argmax())
-        if total[k] > best[c - 1]:
-            best[c], last[c] = total[k], k
-        else:
-            best[c] = best[c - 1]
-    chosen: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            chosen[int(sizes[last[c]])] += 1
-            c -= int(sizes[last[c]])
-    return chosen
+class Pricing:
+    """An unbounded knapsack over ``lengths`` (ascending) by dynamic programming: the most worth in every room."""
+
+    def __init__(self, lengths: np.ndarray, worth: np.ndarray, capacity: int):
+        best = np.zeros(capacity + 1)
+        last = np.full(capacity + 1, -1)
+        fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+        for c in range(int(lengths[0]), capacity + 1):
+            total = best[c - lengths[: fits[c]]] + worth[: fits[c]]
+            k = int(total.argmax())
+            if total[k] > best[c - 1]:
+                best[c], last[c] = total[k], k
+            else:
+                best[c] = best[c - 1]
+        self.last, self.sizes, self.capacity = last.tolist(), lengths.tolist(), capacity
+        #: For each length the worth of the best pattern that holds it.
+        self.with_ = best[capacity - lengths] + worth
+
+    def pattern(self, i: int) -> Counter:
+        """The best pattern that holds length number ``i``, as numbers of lengths."""
+        chosen = Counter([i])
+        c = self.capacity - self.sizes[i]
+        while c > 0:
+            k = self.last[c]
+            if k < 0:
+                c -= 1
+            else:
+                chosen[k] += 1
+                c -= self.sizes[k]
+        return chosen
+
+
+def solve_program(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """The linear program's dual by multiplicative weights: a lower bound of the sequences, and its prices.
+
+    Each round prices every length's best pattern with one knapsack; all patterns nearly as good
+    as the best ask for their lengths, and the prices of what is asked for most fall.  Any prices
+    under which no pattern is worth more than 1 bound the number of sequences by what the
+    histogram is worth; the best round's are returned.
+    """
+    log_price = np.log(lengths / capacity)
+    bound, prices = 0.0, lengths / capacity
+    for r in range(rounds * min(5, 1 + 200 // len(lengths))):  # the fewer lengths, the cheaper a round and the sooner it pays
+        price = np.exp(log_price - log_price.max())
+        found = Pricing(lengths, price, capacity)
+        most = found.with_.max()
+        if float((need * price).sum() / most) > bound:
+            bound, prices = float((need * price).sum() / most), price / most
+        asked = np.zeros(len(lengths))
+        for i in np.flatnonzero(found.with_ >= (1 - 0.3 / (r + 3)) * most).tolist():
+            pattern = found.pattern(i)
+            times = min(need[k] / c for k, c in pattern.items())
+            for k, c in pattern.items():
+                asked[k] += c * times / need[k]
+        log_price -= 0.5 / (r + 5) * np.clip(asked / max(asked.mean(), 1e-9) - 1, -1, 2)
+    return bound, prices
+
+
+def rounded(lengths: np.ndarray, need: np.ndarray, prices: np.ndarray, capacity: int, lean: float) -> list[tuple[Counter, int]]:
+    """Whole uses of patterns that hold exactly ``need``: by the program's prices, leaning to lengths of which most is left.
+
+    Patterns worth nearly as much as the best are used for an eighth of what stock allows, then
+    the rest is priced again; where none fits the stock, worse ones may.  The end goes best-fit.
+    """
+    stock = need.astype(np.int64)
+    plan: list[tuple[Counter, int]] = []
+    slack = 0.001
+    while stock.any() and slack < 0.3:
+        alive = np.flatnonzero(stock)
+        found = Pricing(lengths[alive], prices[alive] * (1 + lean * stock[alive] / need[alive]), capacity)
+        used = False
+        for i in np.flatnonzero(found.with_ >= (1 - slack) * found.with_.max())[::-1].tolist():
+            pattern = found.pattern(i)
+            times = min(int(stock[alive[k]]) // c for k, c in pattern.items())
+            if times:
+                times = max(1, times // 8)
+                for k, c in pattern.items():
+                    stock[alive[k]] -= c * times
+                plan.append((Counter({int(lengths[alive[k]]): c for k, c in pattern.items()}), times))
+                used = True
+        if not used:
+            slack *= 2
+    return plan + best_fit_decreasing(Counter({int(n): int(k) for n, k in zip(lengths, stock, strict=True) if k}), capacity)
 
 
 def solve_patterns(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, int]]:
-    """Patterns and how often each is used; together they hold exactly the histogram."""
+    """Patterns and how often each is used; together they hold exactly the histogram.
+
+    Of best fit alone and the program rounded with each of ``LEANS``, the plan of fewest sequences;
+    no more are tried once one is within ``GOOD_ENOUGH`` of the program's bound.
+    """
     left = Counter({n: k for n, k in histogram.items() if n < capacity and k})
-    plan: list[tuple[Counter, int]] = []
+    whole = [(Counter({capacity: 1}), histogram[capacity])] if histogram.get(capacity) else []
+    if not left:
+        return whole
     lengths = np.array(sorted(left), np.int64)
-    if len(lengths):
-        need = np.array([left[n] for n in lengths], float)
-        floor = max(1.0, float((lengths * need).sum()) / capacity)
-        # every round spends floor / rounds sequences on the pattern of most worth; a length's
-        # price falls with the share of its need that is covered, relative to the others'
-        log_price = np.log(lengths / capacity)
-        covered = np.zeros(len(lengths))
-        where = {int(n): i for i, n in enumerate(lengths)}
-        found: Counter = Counter()
-        for _ in range(rounds):
-            price = np.exp(log_price - log_price.max())
-            open_ = covered < 1
-            if not open_.any():
-                break
-            pattern = price_pattern(lengths[open_], price[open_], capacity)
-            use = np.zeros(len(lengths))
-            for n, k in pattern.items():
-                use[where[n]] = k
-            share = use / need
-            step = min(floor / rounds, float((np.maximum(0, 1 - covered[use > 0]) / share[use > 0]).min()))
-            step = max(step, 1.0)
-            found[tuple(sorted(pattern.items()))] += step
-            covered += step * share
-            log_price = np.log(lengths / capacity) - 2.0 * np.minimum(covered - covered.min(), 1.0) * (use > -1)
-        for key, times in sorted(found.items(), key=lambda x: -x[1]):
-            whole = min([int(times), *(left[n] // k for n, k in key)])
-            if whole:
-                plan.append((Counter(dict(key)), whole))
-                for n, k in key:
-                    left[n] -= k * whole
-    plan += best_fit_decreasing(+left, capacity)
-    if histogram.get(capacity):
-        plan.append((Counter({capacity: 1}), histogram[capacity]))
-    return plan
+    need = np.array([left[n] for n in lengths.tolist()], np.int64)
+    sequences = lambda plan: sum(times for _, times in plan)
+    bound, prices = solve_program(lengths, need, capacity, rounds)
+    best = rounded(lengths, need, prices, capacity, LEANS[0])
+    for other in (*(lambda lean=lean: rounded(lengths, need, prices, capacity, lean) for lean in LEANS[1:]), lambda: best_fit_decreasing(left, capacity)):
+        if sequences(best) <= np.ceil(bound - 1e-6) * (1 + GOOD_ENOUGH):
+            break
+        best = min(best, other(), key=sequences)
+    return best + whole
 
 
 def best_fit_decreasing(left: Counter, capacity: int) -> list[tuple[Counter, int]]:
