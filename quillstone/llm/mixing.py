@@ -8,8 +8,8 @@ deviate over its quality weight, keys are sorted within the source, sizes are su
 documents are taken while the sum stays within the budget.  Documents are taken whole; the one
 document of the rest whose size comes nearest to the remaining gap closes it.
 
-No source is sorted in one task: keys fall into buckets of about ``BUCKET_ROWS`` documents, the
-buckets' sums give each bucket its starting sum, and only a bucket is sorted at a time.
+The targets' level is found by a few sums over the sources, and no source is sorted in one task: keys fall into buckets of at most about ``BUCKET_ROWS`` documents
+(more where a source would have over ``MOST_BUCKETS``), the buckets' sums give each bucket its starting sum, and only a bucket is sorted at a time.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source;
 repeated rows are documents each for itself; ties of keys go to the smaller doc_id and size (null
@@ -22,18 +22,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
-from .line_dedup import count_words
+from .common import WORD_RE, discard, staged, table
 
-SHARE, MOST_EPOCHS, SEED, BUCKET_ROWS = 1.5, 2.0, 17, 1024
+SHARE, MOST_EPOCHS, SEED, BUCKET_ROWS, VARIED = 1.5, 2.0, 17, 1024, 0.9
+#: Stretches of a source's keys, but for those of the least weight; their sums are added up in one task a source.
+MOST_BUCKETS = 100_000
 #: Sources up to which the table of targets is broadcast; beyond, Spark joins it by shuffling.
 BROADCAST_SOURCES = 50_000
 
 
-def quality_weight(text: Column) -> Column:
-    """1 for plain prose, less the more of a text is symbols that junk is full of."""
-    junk = F.length("text") - F.length(F.regexp_replace(text, "[!#$%&*|]", ""))
-    return F.when(F.length(text) > 0, 1.0 / (1.0 + 50.0 * junk / F.length(text))).otherwise(1.0)
+_SPACE = " \t\n\x0b\x0c\r"
+
+
+def words_of(text: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
+    bare = F.btrim(text, F.lit(_SPACE))
+    return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+
+
+def prose_quality(text: Column, size: Column, distinct: Column) -> Column:
+    """A quality in (0, 1] for texts that have no score of their own: 1 for plain, varied prose.
+
+    It falls with the share of symbols that tables and junk are full of, and with Herdan's measure
+    of variety, log distinct words over log words, below ``VARIED``, which hardly hangs on length.
+    """
+    junk = F.length(text) - F.length(F.regexp_replace(text, "[!#$%&*|]", ""))
+    clean = F.when(F.length(text) > 0, 1.0 / (1.0 + 50.0 * junk / F.length(text))).otherwise(1.0)
+    varied = F.when(size > 1, F.least(F.lit(1.0), (F.log(distinct.cast("double")) + 0.1) / F.log(size.cast("double")) / VARIED)).otherwise(1.0)
+    return clean * F.pow(varied, F.lit(8.0))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -42,22 +58,36 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def targets(sizes: DataFrame, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
-    """``sizes`` (source, source_size, weight) with target; windows run over one row per source.
+def water_level(sizes: DataFrame, share: float, most_epochs: float) -> float:
+    """The level at which the sources' targets, least(cap, level * weight), sum up to ``share`` of all sizes.
 
-    Filled like water: sources in the order of cap over weight are capped until the first whose
-    share of what the earlier ones leave is no more than its cap; its level holds for the rest.
+    Starting without caps, every source that the level lifts above its cap is capped and what it
+    leaves is shared anew; the level only rises, and stands after a few sums over one row a source.
     """
-    everything = Window.partitionBy()
-    ordered = Window.orderBy((F.col("__cap") / F.col("weight")), F.col("source").asc_nulls_last())
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    capped = sizes.withColumn("__cap", most_epochs * F.col("source_size"))
-    left = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(earlier), F.lit(0.0))
-    weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
-    level = capped.withColumn("__level", left / weights).withColumn("__place", F.row_number().over(ordered))
-    stands = F.when(F.col("__cap") / F.col("weight") >= F.col("__level"), F.struct("__place", "__level"))
-    water = F.coalesce(F.min(stands).over(everything)["__level"], F.lit(float("inf")))
-    return level.withColumn("target", F.least("__cap", water * F.col("weight"))).drop("__cap", "__level", "__place")
+    cap = most_epochs * F.col("source_size")
+    level = 0.0
+    while True:
+        below = cap > level * F.col("weight")
+        sums = sizes.agg(F.sum("source_size"), F.sum(F.when(~below, cap)), F.sum(F.when(below, F.col("weight")))).first()
+        if sums[0] is None or sums[2] is None:
+            return float("inf")
+        after = (share * sums[0] - (sums[1] or 0.0)) / sums[2]
+        if after <= level:
+            return level
+        level = after
+
+
+def numbered(sums: DataFrame) -> DataFrame:
+    """``sums`` with __number, the place of source by code point, null last: range-sorted, one count a partition to the driver."""
+    placed = staged(sums.orderBy(F.col("source").asc_nulls_last()).withColumn("__at", F.monotonically_increasing_id()), "mix-order")
+    part = F.shiftright("__at", 33)
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    offsets = sums.sparkSession.createDataFrame(starts or [(0, 0)], "__p long, __start long")
+    return placed.join(F.broadcast(offsets), part == F.col("__p")).withColumn("__number", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__start")
 
 
 def choose(light: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
@@ -67,18 +97,22 @@ def choose(light: DataFrame, weights: DataFrame | None = None, cycle: tuple[floa
     """
     sums = light.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__n"))
     if weights is None:
-        number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-        sums = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (number % len(cycle) + 1).cast("int")))
+        sums = numbered(sums).withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (F.col("__number") % len(cycle) + 1).cast("int"))).drop("__number")
     else:
         sums = sums.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source"))).select("s.*", F.col("w.weight").cast("double").alias("weight"))
-    goal = targets(sums, share, most_epochs)
+    sums = staged(sums, "mix-sources")
+    water = water_level(sums, share, most_epochs)
+    goal = sums.withColumn("target", F.least(most_epochs * F.col("source_size"), F.lit(water) * F.col("weight")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goal = goal.withColumn("__epochs", full).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size")).withColumn("__buckets", (F.col("__n") / BUCKET_ROWS).cast("long") + 1)
+    goal = goal.withColumn("__epochs", full).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size")).withColumn("__buckets", F.least((F.col("__n") / BUCKET_ROWS).cast("long"), F.lit(MOST_BUCKETS)) + 1)
     goal = staged(goal.withColumnRenamed("source", "__source"), "mix-targets")
+    discard(sums)
     few = goal.count() <= BROADCAST_SOURCES
     side = lambda df: F.broadcast(df) if few else df
     here = light.join(side(goal), F.col("source").eqNullSafe(F.col("__source")))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("__key"))) * F.col("__buckets")), F.col("__buckets") - 1)
+    # a stretch of keys in which exponential deviates of any weight lie thinly: even below 1, in even ratios above
+    near = F.when(F.col("__key") < 1, F.col("__key")).otherwise(1 + F.log(F.least("__key", F.lit(1e300))))
+    bucket = F.floor(near * F.col("__buckets"))
     here = here.withColumn("__bucket", bucket)
     groups = here.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__total"))
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,20 +132,26 @@ def choose(light: DataFrame, weights: DataFrame | None = None, cycle: tuple[floa
     return placed.join(side(closing), "__row", "left").withColumn("__copies", copies)
 
 
-def weighed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source and any others) with __row, __size and __key."""
-    size = F.coalesce(count_words(F.col("text")), F.lit(0))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
-    return docs.withColumns({"__row": F.monotonically_increasing_id(), "__size": size, "__key": key})
+def weighed(docs: DataFrame, seed: int = SEED, quality: Column | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, source and any others) with __row, __size and __key.
+
+    ``quality`` is a document's weight, a positive number such as a classifier's score; null and
+    what isn't positive count as the least double above 0.  Without it ``prose_quality`` weighs.
+    """
+    sized = docs.withColumn("__words", words_of(F.col("text"))).withColumn("__size", F.size("__words").cast("long"))
+    weight = prose_quality(F.col("text"), F.col("__size"), F.size(F.array_distinct("__words"))) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(5e-324))
+    key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(weight, F.lit(1.0))
+    return sized.withColumns({"__row": F.monotonically_increasing_id(), "__key": key}).drop("__words").select(*docs.columns, "__row", "__size", "__key")
 
 
-def mix_documents(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: DataFrame | None = None, quality: Column | None = None, **options) -> DataFrame:
     """``docs`` as the mix takes them: each as many times as it is taken."""
     names = docs.columns
-    base = staged(weighed(docs), "mix-docs")
+    base = staged(weighed(docs, quality=quality), "mix-docs")
     light = base.select("__row", "doc_id", "source", "__size", "__key")
-    copies = choose(light, weights, **options).where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    return base.join(copies, "__row").select(*names)
+    copies = staged(choose(light, weights, **options).where("__copies > 0").select("__row", "__copies"), "mix-copies")
+    taken = copies.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
+    return base.join(taken, "__row").select(*names)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,11 +162,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+with b as (select *, coalesce(regexp_extract_all(text, '{WORD_RE}'), []) as ws from documents),
+d as (
+  select doc_id, source, len(ws) as size,
     -ln((cast('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double)
-      / case when length(text) > 0 then 1.0::double / (1.0::double + 50.0::double * (length(text) - length(regexp_replace(text, '[!#$%&*|]', '', 'g'))) / length(text)) else 1.0::double end as key
-  from documents),
+      / (case when length(text) > 0 then 1.0::double / (1.0::double + 50.0::double * (length(text) - length(regexp_replace(text, '[!#$%&*|]', '', 'g'))) / length(text)) else 1.0::double end
+        * pow(case when len(ws) > 1 then least(1.0::double, (ln(list_unique(ws)::double) + 0.1::double) / ln(len(ws)::double) / {VARIED}::double) else 1.0::double end, 8.0::double)) as key
+  from b),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by 1),
 w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as weight from s),
 c as (select *, 2.0::double * source_size as cap from w),
