@@ -79,7 +79,7 @@ BRANDS = (
     ("motiva", "Motiva", "Establishment Labs", "SmoothSilk shell with adaptive ProgressiveGel (Ergonomix line)", "A newer-generation implant (FDA-approved in 2024) whose gel adapts to movement — rounder when lying down, teardrop when upright — for a particularly natural, dynamic look.", ("Adaptive gel that moves with you", "Very natural upright teardrop look", "Modern low-texture SmoothSilk surface")),
     ("sientra", "Sientra", "Tiger Aesthetics", "High-strength cohesive (HSC / HSC+) silicone gel", "US-made cohesive gel implants offered exclusively through board-certified plastic surgeons, with round and shaped lines.", ("High-strength cohesive gel", "Sold only via board-certified surgeons", "Round and shaped lines")),
 )
-# Profiles and shapes of the catalogue (id, name, blurb), and the guide to volumes.
+# Profiles and shapes of the catalogue (id, name, blurb).
 PROFILES = (
     ("moderate", "Moderate", "Wider base, gentler forward projection — the most understated silhouette."),
     ("moderate-plus", "Moderate plus", "A balanced middle ground — the most commonly chosen profile."),
@@ -90,13 +90,6 @@ SHAPE_ROWS = (
     ("round", "Round", "Even fullness top and bottom, more visible upper-pole roundness and cleavage."),
     ("teardrop", "Teardrop", "Tapered at the top, fuller at the bottom — mimics the natural slope of the breast."),
 )
-VOLUME_GUIDE = (
-    ("150–250 cc", "Subtle enhancement — roughly half to one cup size."),
-    ("250–400 cc", "The most popular range — roughly one to one and a half cup sizes, natural-looking on most frames."),
-    ("400–550 cc", "Clearly noticeable — roughly one and a half to two cup sizes."),
-    ("550–700 cc", "Full — roughly two to two and a half cup sizes."),
-    ("700–800 cc", "Dramatic — roughly two and a half cup sizes or more; best discussed carefully with your surgeon."),
-)
 
 # What responses say.
 SAYS = {

@@ -28,6 +28,22 @@ def as_text(value: Column, name: str) -> Column:
     return F.when(kind(value, name) == "STRING", F.try_variant_get(value, f"$.{name}", "string"))
 
 
+def quoted(text: Column) -> Column:
+    """Text between quotes as messages show it: single ones unless it holds only such, backslashes and line breaks escaped."""
+    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
+    single = F.contains(text, F.lit("'"))
+    return F.when(single & ~F.contains(text, F.lit('"')), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def literal(value: Column, name: str) -> Column:
+    """A field as messages show it: text quoted, True, False and None, numbers and the rest as JSON; null where it is missing."""
+    of = kind(value, name)
+    truth = F.when(F.try_variant_get(value, f"$.{name}", "boolean"), "True").otherwise("False")
+    return F.when(of == "STRING", quoted(as_text(value, name))).when(of == "BOOLEAN", truth).when(of == "VOID", "None").otherwise(F.to_json(field(value, name)))
+
+
 def falsy(value: Column, name: str) -> Column:
     """Missing, null, "", 0, false, [] and {}; a blank string is not."""
     shown = F.to_json(field(value, name))

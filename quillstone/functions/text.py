@@ -53,9 +53,17 @@ def edit_prompt(volume: Column, shape: Column, profile: Column, brand: Column) -
     return F.concat_ws("\n", F.lit(fixed.PROMPT_HEAD), _edit_clause(cc, shape, profile, brand), reads, *map(F.lit, fixed.PROMPT_RULES))
 
 
+#: What a browser's and server's trim takes for white space.
+TRIMMED = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
+def trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, f"^{TRIMMED}+|{TRIMMED}+$", "")
+
+
 def client_key(forwarded_for: Column) -> Column:
     """The first address of a forwarded-for header, trimmed; ``unknown`` without one."""
-    first = F.regexp_replace(F.get(F.split(forwarded_for, ","), F.lit(0)), r"^\s+|\s+$", "")
+    first = trimmed(F.get(F.split(forwarded_for, ","), F.lit(0)))
     return F.coalesce(F.nullif(first, F.lit("")), F.lit("unknown"))
 
 

@@ -21,10 +21,6 @@ def shapes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*s, fixed.SHAPE_WORDS[s[0]]) for s in fixed.SHAPE_ROWS], "id string, name string, blurb string, prompt_descriptor string")
 
 
-def volume_guide(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.VOLUME_GUIDE), "range string, effect string")
-
-
 def look_up(rows: DataFrame, dimension: DataFrame, code: Column, prefix: str) -> DataFrame:
     """``rows`` with the dimension's columns, null where it lacks the code; the dimension has a few rows, fixed in code."""
     renamed = dimension.select(*[F.col(c).alias(f"{prefix}_{c}") for c in dimension.columns])

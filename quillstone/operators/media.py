@@ -6,6 +6,7 @@ image may pass as free of faces, and without a codec none may pass as re-encoded
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ Codec = tuple[Callable[[bytes], np.ndarray | None], Callable[[np.ndarray], bytes
 #: Finds boxes (x, y, w, h) in an image.
 Detector = Callable[[np.ndarray], list[tuple[int, int, int, int]]]
 
+READ = "label string, stem string, content binary, width int, height int, digest string, reason string"
 OUT = "label string, stem string, content binary, faces array<struct<x:int,y:int,w:int,h:int>>, reason string"
 
 
@@ -70,8 +72,19 @@ def _smear(plane: np.ndarray, taps: int = 31) -> np.ndarray:
     return plane
 
 
+def _reduced(region: np.ndarray, grid: int) -> np.ndarray:
+    """``region`` at ``grid`` x ``grid`` points, each interpolated between the four pixels around it; whole values."""
+    for axis in (0, 1):
+        n = region.shape[axis]
+        at = np.clip((np.arange(grid) + 0.5) * n / grid - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(int), max(0, n - 2))
+        share = (at - low).reshape([-1 if a == axis else 1 for a in range(region.ndim)])
+        region = np.take(region, low, axis) * (1 - share) + np.take(region, np.minimum(low + 1, n - 1), axis) * share
+    return np.rint(region)
+
+
 def pixelated(image: np.ndarray, boxes: list[tuple[int, int, int, int]], margin: float = fixed.FACE_MARGIN, grid: int = 8) -> np.ndarray:
-    """``image`` with each box, grown by ``margin``, reduced to ``grid`` x ``grid`` cells and blurred."""
+    """``image`` with each box, grown by ``margin``, reduced to ``grid`` x ``grid`` points, shown as cells and blurred."""
     out = image.astype(float)
     height, width = image.shape[:2]
     for x, y, w, h in boxes:
@@ -79,18 +92,36 @@ def pixelated(image: np.ndarray, boxes: list[tuple[int, int, int, int]], margin:
         y0, y1 = max(0, y - int(h * margin)), min(height, y + h + int(h * margin))
         if x1 <= x0 or y1 <= y0:
             continue
-        rows = np.minimum((np.arange(y1 - y0) * grid) // (y1 - y0), grid - 1)
-        columns = np.minimum((np.arange(x1 - x0) * grid) // (x1 - x0), grid - 1)
-        cells = out[y0:y1, x0:x1]
-        flat = np.empty_like(cells)
-        for r in np.unique(rows):
-            for c in np.unique(columns):
-                here = np.ix_(rows == r, columns == c)
-                flat[here] = cells[here].mean(axis=(0, 1))
+        small = _reduced(out[y0:y1, x0:x1], grid)
+        flat = small[np.ix_(np.arange(y1 - y0) * grid // (y1 - y0), np.arange(x1 - x0) * grid // (x1 - x0))]
         out[y0:y1, x0:x1] = _smear(flat)
     return np.clip(np.rint(out), 0, 255).astype(image.dtype)
 
 
+def reencoded(images: DataFrame, codec: Callable[[], Codec | None] = installed_codec) -> DataFrame:
+    """``images`` (label, stem, content) decoded and encoded anew, which sheds all metadata of the file.
+
+    Gives size, SHA-256 of the decoded pixels (red first, without the size) and the new content, or
+    the reason why not.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coding = codec()
+        for batch in batches:
+            rows = []
+            for label, stem, content in zip(batch["label"], batch["stem"], batch["content"], strict=True):
+                image = coding[0](bytes(content)) if coding and content is not None else None
+                if image is None:
+                    rows.append((label, stem, None, None, None, None, f"cannot read {stem}" if coding else "no image codec is installed"))
+                else:
+                    height, width = image.shape[:2]
+                    rows.append((label, stem, coding[1](image), width, height, hashlib.sha256(np.ascontiguousarray(image).tobytes()).hexdigest(), None))
+            out = pd.DataFrame(rows, columns=["label", "stem", "content", "width", "height", "digest", "reason"])
+            yield out.astype({"width": "Int32", "height": "Int32"})
+
+    return images.select("label", "stem", "content").mapInPandas(read, READ)
+
+
 def deidentify(images: DataFrame, codec: Callable[[], Codec | None] = installed_codec, detector: Callable[[], Detector | None] = installed_detector, allow_no_face: bool = False, crop_top: float = 0.0) -> DataFrame:
     """``images`` (label, stem, content) as clean JPEGs, or with the reason why not.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +20,21 @@ def digest(content: Column) -> Column:
 
 
 def image_digest(image: Column, with_size: bool = False) -> Column:
-    """SHA-256 of an image's pixels; without the size, images of one pixel sequence are equal."""
-    if with_size:
-        return F.sha2(F.concat(F.concat_ws("x", image["width"], image["height"]).cast("binary"), image["data"]), 256)
-    return F.sha2(image["data"], 256)
+    """SHA-256 of an image's pixels, red first; without the size, images of one pixel sequence are equal.
+
+    ``image`` is a struct of Spark's image source, whose pixels are blue first.
+    """
+
+    @F.pandas_udf("binary")
+    def red_first(data: pd.Series, channels: pd.Series) -> pd.Series:
+        def turned(content: bytes, n: int) -> bytes:
+            pixels = np.frombuffer(content, np.uint8).reshape(-1, max(1, n))
+            return (np.repeat(pixels, 3, axis=1) if n == 1 else pixels[:, 2::-1]).tobytes()
+
+        return pd.Series([None if x is None or n < 1 else turned(x, int(n)) for x, n in zip(data, channels, strict=True)], dtype=object)
+
+    pixels = red_first(image["data"], image["nChannels"])
+    return F.sha2(F.concat(F.concat_ws("x", image["width"], image["height"]).cast("binary"), pixels) if with_size else pixels, 256)
 
 
 def ordered_paths(rows: DataFrame, *keys: str) -> DataFrame:
@@ -64,32 +77,44 @@ def dedupe_greedy(pairs: DataFrame) -> DataFrame:
     return next_.select(*pairs.columns, F.col("__pair").alias("accepted"), duplicate.alias("duplicate_of"))
 
 
-def validation_count(n: Column, fraction: float) -> Column:
-    """At least one of two or more, else the whole part of the share."""
-    return F.when(n > 1, F.greatest(F.lit(1), (n * F.lit(fraction)).cast("long"))).otherwise(F.lit(0)).cast("long")
+#: Keys among which the split's edge is looked up at once.
+EDGE_KEYS = 4096
+
+
+def split_edge(keys: DataFrame, wanted: int) -> tuple[str, str] | None:
+    """The (__h, __k) of number ``wanted`` in the order of both; None for 0.
+
+    A histogram over the leading digits of __h finds the stretch that holds it, then one over the
+    next digits within that, until few keys are left: three digits a pass, 4096 numbers on the driver.
+    """
+    prefix, left = "", wanted
+    while left:
+        here = keys.where(F.col("__h").startswith(prefix))
+        sizes = sorted((r["b"], r["n"]) for r in here.groupBy(F.substring("__h", 1, len(prefix) + 3).alias("b")).agg(F.count("*").alias("n")).collect())
+        for stretch, n in sizes:
+            if left <= n:
+                break
+            left -= n
+        if n <= EDGE_KEYS or len(stretch) > 29:
+            rows = keys.where(F.col("__h").startswith(stretch)).select("__h", "__k").orderBy("__h", "__k").limit(left).collect()
+            return rows[-1]["__h"], rows[-1]["__k"]
+        prefix = stretch
+    return None
 
 
 def split_assign(rows: DataFrame, key: str = "pair_id", seed: int = 42, fraction: float = 0.1) -> DataFrame:
-    """``rows`` with split: the first ``validation_count`` in the order of md5(seed:key) are val.
+    """``rows`` with split: the first share (at least one of two or more keys) in the order of md5(seed:key) is val.
 
-    A histogram over the leading digits of the md5 finds the bucket where the count is reached;
-    only that bucket is sorted.  The driver holds one number for each of 4096 buckets.
+    ``rows`` are computed twice: once for their keys, which are staged, and once for the result, in
+    which the split is a comparison with the edge's key.  Rows of one key go together.
     """
-    hashed = rows.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))))
-    sizes = {r["b"]: r["n"] for r in hashed.groupBy(F.substring("__h", 1, 3).alias("b")).agg(F.count("*").alias("n")).collect()}
-    n = sum(sizes.values())
-    wanted = max(1, int(n * fraction)) if n > 1 else 0
-    edge, before = "", 0
-    for b in sorted(sizes):
-        if before + sizes[b] > wanted:
-            edge = b
-            break
-        before += sizes[b]
-    bucket = F.substring("__h", 1, 3)
-    rank = F.row_number().over(Window.partitionBy("__edge").orderBy("__h", key))
-    inside = hashed.where(bucket == edge).withColumn("__edge", F.lit(1)).withColumn("split", F.when(rank <= wanted - before, "val").otherwise("train")).drop("__edge")
-    rest = hashed.where(bucket != edge).withColumn("split", F.when(bucket < edge, "val").otherwise("train") if edge else F.lit("val"))
-    return inside.unionByName(rest).drop("__h")
+    hashed = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), c))
+    keys = written(rows.select(F.col(key).cast("string").alias("__k")).distinct().withColumn("__h", hashed(F.col("__k"))), "split-keys")
+    n = keys.count()
+    edge = split_edge(keys, max(1, int(n * fraction)) if n > 1 else 0)
+    own = F.col(key).cast("string")
+    within = (hashed(own) < edge[0]) | ((hashed(own) == edge[0]) & (own <= edge[1])) if edge else F.lit(False)
+    return rows.withColumn("split", F.when(within, "val").otherwise("train"))
 
 
 def split_assign_listed(rows: DataFrame, key: str = "pair_id", seed: int = 42, fraction: float = 0.1, most: int = 1_000_000) -> DataFrame:
@@ -126,31 +151,68 @@ class HitLog:
         return False
 
 
+def judged(times: np.ndarray, limit: int, window: int, kept: deque[int]) -> np.ndarray:
+    """Which of a client's ascending ``times`` are blocked; ``kept`` holds its last ``limit`` accepted hits and goes on.
+
+    A hit passes if the hit accepted ``limit`` before it has left the window, so after each full log
+    the search goes straight to the first time that passes again: a step for each accepted hit only.
+    """
+    blocked = np.ones(len(times), bool)
+    i = 0
+    while i < len(times):
+        if len(kept) == limit:
+            i = max(i, int(np.searchsorted(times, kept[0] + window)))
+            if i == len(times):
+                break
+            kept.popleft()
+        blocked[i] = False
+        kept.append(int(times[i]))
+        i += 1
+    return blocked
+
+
 def rate_limit(hits: DataFrame, limit: int = fixed.RATE_LIMIT, window: int = fixed.RATE_WINDOW_MS) -> DataFrame:
     """``hits`` (key, t, id) with blocked, by a sliding log of accepted hits for each key.
 
-    A pause as long as the window starts a key anew, so hits are dealt out by key and stretch
-    between pauses; each stretch streams through a state of ``limit`` times, whatever its length.
+    A pause as long as the window starts a key anew.  Pauses lie between stretches of time as long
+    as the window, so they are found among one row for each key and stretch with hits, and hits are
+    dealt out by key and run of stretches.  What has no pause stays sequential, as each verdict
+    hangs on the ones before: it streams through a log of ``limit`` times, whatever its length.
     """
-    by_key = Window.partitionBy("key").orderBy("t", "id")
-    pause = F.coalesce((F.col("t") - F.lag("t").over(by_key) >= window).cast("int"), F.lit(0))
-    stretches = hits.select("key", "t", "id").withColumn("__new", pause).withColumn("stretch", F.sum("__new").over(by_key.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    slot = F.floor(F.col("t") / window).cast("long")
+    slots = hits.groupBy("key", slot.alias("__slot")).agg(F.min("t").alias("__first"), F.max("t").alias("__last"))
+    by_key = Window.partitionBy("key").orderBy("__slot")
+    pause = F.coalesce((F.col("__first") - F.lag("__last").over(by_key) >= window).cast("int"), F.lit(0))
+    runs = slots.withColumn("__new", pause).withColumn("run", F.sum("__new").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = written(runs.select(F.col("key").alias("__key"), "__slot", "run"), "limiter-runs")
+    placed = hits.select("key", "t", "id").withColumn("__own", slot).join(runs, F.col("key").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__slot"))).select("key", "t", "id", "run")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, log = None, HitLog(limit, window)
+        current, kept = None, deque()
         for batch in batches:
-            said = []
-            for key, t, stretch in zip(batch["key"], batch["t"], batch["stretch"], strict=True):
-                if (key, stretch) != current:
-                    current, log = (key, stretch), HitLog(limit, window)
-                said.append(log.blocked(int(t)))
-            yield batch[["key", "t", "id"]].assign(blocked=said)
-
-    dealt = stretches.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "t", "id")
+            code = batch.groupby(["key", "run"], dropna=False, sort=False).ngroup().to_numpy()
+            times, said = batch["t"].to_numpy(), []
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(code)) + 1):
+                if len(part):
+                    key = batch["key"].iat[part[0]]
+                    of = (None if pd.isna(key) else key, batch["run"].iat[part[0]])
+                    if of != current:
+                        current, kept = of, deque()
+                    said.append(judged(times[part], limit, window, kept))
+            yield batch[["key", "t", "id"]].assign(blocked=np.concatenate(said) if said else np.zeros(0, bool))
+
+    dealt = placed.repartition("key", "run").sortWithinPartitions("key", "run", "t", "id")
     kinds = dict(hits.dtypes)
     return dealt.mapInPandas(judge, f"key {kinds['key']}, t {kinds['t']}, id {kinds['id']}, blocked boolean")
 
 
+def limiter_state(hits: DataFrame, limit: int = fixed.RATE_LIMIT) -> DataFrame:
+    """key, times: each key's latest ``limit`` different times, latest first, which is all that a limiter may hold."""
+    latest = Window.partitionBy("key").orderBy(F.desc("t"))
+    kept = hits.select("key", "t").distinct().withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= limit)
+    return kept.groupBy("key").agg(F.sort_array(F.collect_list("t"), False).alias("times"))
+
+
 def expired_keys(state: DataFrame, now: int, window: int = fixed.RATE_WINDOW_MS) -> DataFrame:
     """Keys of a state table (key, times) all of whose hits have left the window: safe to forget."""
     return state.where(F.forall("times", lambda t: now - t >= window)).select("key")

@@ -18,7 +18,7 @@ def metadata_errors(meta: Column, folder: Column) -> list[Column]:
     """One message or null for each rule, in the order in which they are reported."""
     text = lambda name: js.as_text(meta, name)
     given = lambda name: ~js.falsy(meta, name)
-    shown = lambda name: F.coalesce(text(name), F.to_json(js.field(meta, name)))
+    shown = lambda name: F.coalesce(text(name), js.literal(meta, name))
     outside = lambda name, domain: given(name) & ~F.coalesce(text(name).isin(*domain), F.lit(False))
     missing = [F.when(js.falsy(meta, name), F.lit(f"missing required field '{name}'")) for name in fixed.REQUIRED_FIELDS]
     volume = F.try_variant_get(meta, "$.volume_cc", "long")
@@ -29,7 +29,7 @@ def metadata_errors(meta: Column, folder: Column) -> list[Column]:
         *missing,
         F.when(outside("shape", fixed.SHAPES), F.concat(F.lit("invalid shape '"), shown("shape"), F.lit("'"))),
         F.when(outside("view", fixed.VIEWS), F.concat(F.lit("invalid view '"), shown("view"), F.lit("'"))),
-        F.when(there & ~F.coalesce(whole, F.lit(False)), F.concat(F.lit(f"volume_cc must be an integer between {low} and {high}, got "), F.to_json(js.field(meta, "volume_cc")))),
+        F.when(there & ~F.coalesce(whole, F.lit(False)), F.concat(F.lit(f"volume_cc must be an integer between {low} and {high}, got "), js.literal(meta, "volume_cc"))),
         F.when(given("pair_id") & ~F.coalesce(text("pair_id") == folder, F.lit(False)), F.concat(F.lit("pair_id '"), shown("pair_id"), F.lit("' does not match folder name '"), folder, F.lit("'"))),
     ]
 
@@ -67,7 +67,7 @@ def joined_errors(errors: Column) -> Column:
 
 
 def consent_gate(rows: DataFrame, consent: Column, parity: bool = False, consents: DataFrame | None = None, adult: Column | None = None) -> DataFrame:
-    """Rows that may be used at all; run first and once more before anything is exported.
+    """Rows that may be used at all; run first and, by ``exportable``, once more in every writer of a dataset.
 
     ``consents`` has consent_ref and revoked.  Strict mode fails closed: without an ``adult``
     attestation column nothing passes.
@@ -81,13 +81,23 @@ def consent_gate(rows: DataFrame, consent: Column, parity: bool = False, consent
     return kept
 
 
+def exportable(rows: DataFrame, parity: bool = False, consents: DataFrame | None = None, consent: str = "consent_ref", adult: str = "adult_attested", audited: str = "audited") -> DataFrame:
+    """The rows that may leave: behind the consent gate again and, unless ``parity``, audited by a person.
+
+    Strict mode fails closed: rows without one of the columns don't leave.
+    """
+    given = lambda name: F.col(name) if name in rows.columns else F.lit(None)
+    kept = consent_gate(rows, given(consent).cast("string"), parity, consents, given(adult).cast("boolean"))
+    return kept if parity else kept.where(F.coalesce(given(audited).cast("boolean"), F.lit(False)))
+
+
 def first_reason(*checks: tuple[Column, Column | str]) -> Column:
     """The message of the first failing check, as ingest stops there; null if none fails."""
     return F.coalesce(*[F.when(failed, said if isinstance(said, Column) else F.lit(said)) for failed, said in checks])
 
 
-def too_small(stem: str, width: Column, height: Column) -> tuple[Column, Column]:
-    return ~geometry.large_enough(width, height), F.concat(F.lit(f"{stem} image too small ("), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(")"))
+def too_small(stem: str, width: Column, height: Column, least: int = fixed.MIN_DIMENSION) -> tuple[Column, Column]:
+    return ~geometry.large_enough(width, height, least), F.concat(F.lit(f"{stem} image too small ("), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(")"))
 
 
 def no_face_rejected(faces: Column, allow_no_face: Column | bool, crop_top: Column | float, parity: bool = False) -> Column:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 _MIMES = ("image/jpeg", "image/png", "image/webp", "image/gif")
 
 
@@ -51,7 +60,7 @@ META_SQL = """meta as (
 
 def metadata_json(rows: DataFrame) -> DataFrame:
     """``rows`` of meta with the JSON text that a clinic would send; a few texts are cut short."""
-    names = ("pair_id", "shape", "view", "brand", "profile", "volume_cc", "consent_ref")
+    names = [n for n in ("pair_id", "shape", "view", "brand", "profile", "volume_cc", "consent_ref", "adult_attested") if n in rows.columns]
     whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     return rows.withColumn("meta_json", F.when(F.col("k") % 31 == 0, F.expr("substring(pair_id, 1, 5)")).otherwise(whole))
 
@@ -97,6 +106,113 @@ def digest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("before is not null and after is not null").select("ord", F.concat(F.lit("clinic/"), o.cast("string")).alias("label"), "before", "after", (o % 26 != 0).alias("before_ok"), (o % 34 != 0).alias("after_ok"))
 
 
+def consents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreements over part: some are revoked, some aren't on file."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").where(k % 23 != 1).select(F.concat(F.lit("agreement-"), k.cast("string")).alias("consent_ref"), (k % 7 == 0).alias("revoked"))
+
+
+def governed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """meta with adult_attested; false or missing for some."""
+    k = F.col("k")
+    return meta(spark, sf_dir).withColumn("adult_attested", F.when(k % 10 != 8, k % 10 != 9))
+
+
+GOVERNED_SQL = "(consent_ref <> '' and k % 10 not in (8, 9) and k % 23 <> 1 and k % 7 <> 0)"
+
+
+def write_images(rows: DataFrame, root: str) -> str:
+    """Write the files of ``rows`` (path, content) under ``root``, a folder that executors share, and return it."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                system.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{top}/{path}") as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+def raw_image(width: int, height: int, shade: int, face: bool) -> bytes:
+    """A binary pixmap of one shade; a face is its first two pixels in red."""
+    pixels = bytearray([shade]) * (3 * width * height)
+    if face:
+        pixels[:6] = b"\xff\0\0\xff\0\0"
+    return b"P6\n%d %d\n255\n" % (width, height) + bytes(pixels)
+
+
+def pixmap_codec() -> tuple[Callable[[bytes], np.ndarray | None], Callable[[np.ndarray], bytes]]:
+    """A codec of binary pixmaps, for images without an imaging library."""
+
+    def decode(content: bytes) -> np.ndarray | None:
+        head = content.split(b"\n", 3)
+        if head[0] != b"P6" or len(head) != 4:
+            return None
+        width, height = map(int, head[1].split())
+        return np.frombuffer(head[3], np.uint8).reshape(height, width, 3)
+
+    return decode, lambda image: b"P6\n%d %d\n255\n" % (image.shape[1], image.shape[0]) + image.tobytes()
+
+
+def red_detector() -> Callable[[np.ndarray], list[tuple[int, int, int, int]]]:
+    """Finds the first two pixels if they are red, and takes what is around them for a face."""
+    return lambda image: [(0, 0, 4, 4)] if (image[0, :2] == (255, 0, 0)).all() else []
+
+
+def raw_folders(spark: SparkSession, sf_dir: str) -> str:
+    """Raw folders over part: every check of the three stages is failed by some pairs."""
+    rows = metadata_json(governed(spark, sf_dir)).select("k", "clinic", "folder", "meta_json", "before", "after")
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, clinic, folder, meta_json, before, after in batch.itertuples(index=False):
+                at = f"{clinic}/{folder}"
+                out.append((f"{at}/meta.json", meta_json.encode()))
+                if before:
+                    out.append((f"{at}/before.jpg", b"junk" if k % 37 == 0 else raw_image(8 + k % 10, 9 + k % 3, k % 31, k % 4 != 0)))
+                if after:
+                    out.append((f"{at}/after.png", raw_image(9 + k % 4, 8 + k % 8, (k * 7 + 3) % 31, k % 6 != 0)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return write_images(rows.mapInPandas(files, "path string, content binary"), f"{shared_dir(spark)}/quillstone/raw-{uuid.uuid4().hex}")
+
+
+def png_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A picture of one shade for every part, named by its key; a few can't be decoded."""
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k in batch["p_partkey"].tolist():
+                width, height = 2 + k % 7, 1 + k % 5
+                lines = (b"\0" + bytes([33 + k % 31]) * (3 * width)) * height
+                chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+                whole = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+                out.append((f"{k}.png", b"junk" if k % 13 == 0 else whole))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    rows = table(spark, sf_dir, "part").select("p_partkey").mapInPandas(files, "path string, content binary")
+    return write_images(rows, f"{shared_dir(spark)}/quillstone/png-{uuid.uuid4().hex}")
+
+
+def provided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the provider answered to the requests over meta: images, refusals, errors, and nothing."""
+    k = F.col("k")
+    inline = F.struct(F.when(k % 2 == 0, "image/jpeg").alias("mimeType"), F.concat(F.lit("img"), k.cast("string")).alias("data"))
+    parts = F.array(F.struct(F.lit("text").alias("text"), F.lit(None).cast("struct<mimeType:string,data:string>").alias("inlineData")), F.struct(F.lit(None).cast("string").alias("text"), F.when(k % 3 != 0, inline).alias("inlineData")))
+    candidate = F.struct(F.struct(parts.alias("parts")).alias("content"), F.when(k % 5 == 0, "SAFETY").otherwise("STOP").alias("finishReason"))
+    provider = F.struct(F.array(candidate).alias("candidates"), F.struct(F.lit(None).cast("string").alias("blockReason")).alias("promptFeedback"))
+    network = F.when(k % 21 == 20, "timeout")
+    return meta(spark, sf_dir).where(k % 17 != 0).select("k", provider.alias("provider"), F.when(network.isNull(), F.when(k % 10 == 9, 429).when(k % 10 == 7, 500).otherwise(200)).alias("http_status"), network.alias("network_error"))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image sizes, boxes and face counts over lineitem, all whole numbers."""
     q, n, k = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_orderkey")

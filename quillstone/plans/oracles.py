@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from .fixtures import BOXES_SQL, META_SQL
+from .fixtures import BOXES_SQL, GOVERNED_SQL, META_SQL
 
 
 def _text(value: str) -> str:
@@ -55,6 +55,32 @@ _HITS = "hits as (select event_type as key, cast(floor(epoch_us(ts) / 1000000) a
 _MIME = "['image/jpeg', 'image/png', 'image/webp', 'image/gif'][k % 4 + 1]"
 _SAY = {k: _text(v) for k, v in fixed.SAYS.items()}
 
+_CATALOGUE = (
+    ("brand", fixed.BRANDS, ((1, "name"), (2, "manufacturer"), (3, "fill"), (4, "blurb"))),
+    ("profile", fixed.PROFILES, ((1, "name"), (2, "blurb"))),
+    ("shape", fixed.SHAPE_ROWS, ((1, "name"), (2, "blurb"))),
+)
+_GUARDS = """c as (select *, case when k % 10 = 0 then 'rate' when k % 8 in (0, 1, 2) then 'large' when k % 12 = 0 then 'json' when k % 7 = 0 then 'photo' when k % 4 = 3 then 'mime'
+  when brand in ('other', 'unknown') or shape not in ('round', 'teardrop') or profile = 'unknown' or volume_cc not between 150 and 800 then 'config' else 'demo' end as g from meta)"""
+
+_OWNER = "list_filter(s.seen, lambda q: q.d = e.{0})[1].o"
+_B_NEW, _A_NEW = f"e.b_bad is null and {_OWNER.format('b')} is null", f"e.a_bad is null and e.a <> e.b and {_OWNER.format('a')} is null"
+#: Every pair of the raw folders with the stage and reason that stop it; null if none does.
+_INGESTED = f"""{_ERRORS},
+named as (select *, clinic || '/' || folder as label, 8 + k % 10 as w, 9 + k % 3 as h, 9 + k % 4 as w2, 8 + k % 8 as h2, {GOVERNED_SQL} as governed from listed),
+usable as (select *, case when k % 37 = 0 then 'cannot read before' when least(w, h) < 9 then 'before image too small (' || w || 'x' || h || ')' end as b_bad,
+  case when least(w2, h2) < 9 then 'after image too small (' || w2 || 'x' || h2 || ')' end as a_bad,
+  (w * h) || '-' || (k % 31) || '-' || (k % 4 <> 0) as b, (w2 * h2) || '-' || ((k * 7 + 3) % 31) || '-' || (k % 6 <> 0) as a
+  from named where len(errors) = 0 and governed),
+inorder as (select list({{label: label, b: b, a: a, b_bad: b_bad, a_bad: a_bad}} order by clinic, folder) as x from usable),
+told as (select unnest(r.out) as u from (select list_reduce(x, lambda s, e: {{
+    seen: case when {_B_NEW} then case when {_A_NEW} then list_append(list_append(s.seen, {{d: e.b, o: e.label || '/before'}}), {{d: e.a, o: e.label || '/after'}}) else list_append(s.seen, {{d: e.b, o: e.label || '/before'}}) end else s.seen end,
+    out: list_append(s.out, {{label: e.label, reason: coalesce(e.b_bad, 'before is a duplicate of ' || {_OWNER.format('b')}, e.a_bad, case when e.a = e.b then 'after is a duplicate of ' || e.label || '/before' end, 'after is a duplicate of ' || {_OWNER.format('a')})}})}},
+  {{seen: []::struct(d varchar, o varchar)[], out: []::struct(label varchar, reason varchar)[]}}) as r from inorder)),
+ingested as (select k, label, case when len(errors) > 0 then 'validate' when not governed then 'consent' else 'images' end as stage,
+  case when len(errors) > 0 then array_to_string(errors, '; ') when not governed then 'no active consent of an attested adult' else (select u.reason from told where u.label = named.label) end as reason from named)"""
+_CLEANED = f"""{_INGESTED}, cleaned as (select label, case when k % 4 = 0 then 'no face detected in before' when k % 6 = 0 then 'no face detected in after' end as reason from ingested where reason is null)"""
+
 ORACLE_SQL: dict[str, str] = {
     "validate_errors": f"with {_ERRORS} select k, array_to_string(errors, '; ') as errors, cast(len(errors) as bigint) as n_errors, len(errors) = 0 as accepted from listed",
     "accept_reject_counts": f"with {_ERRORS} select cast(count(*) filter (len(errors) = 0) as bigint) as accepted, cast(count(*) filter (len(errors) > 0) as bigint) as rejected from listed",
@@ -64,7 +90,7 @@ ORACLE_SQL: dict[str, str] = {
     "captions": f"with {META_SQL} select k, {_CAPTION} as caption from meta",
     "edit_prompts": f"with {META_SQL} select k, {_PROMPT} as prompt from meta",
     "volume_bands": f"with {META_SQL} select k, {_band('volume_cc', fixed.BAND_PHRASES)} as phrase, {_band('volume_cc', fixed.BAND_LABELS)} as label, cast({_CLAMPED} as bigint) as clamped from meta",
-    "catalog_lookup": f"with {META_SQL} select k, {_case('brand', {b[0]: b[1] for b in fixed.BRANDS}, None)} as found_brand_name, {_case('profile', {p[0]: p[1] for p in fixed.PROFILES}, None)} as found_profile_name, {_case('shape', {s[0]: s[1] for s in fixed.SHAPE_ROWS}, None)} as found_shape_name from meta",
+    "catalog_lookup": f"with {META_SQL} select k, " + ", ".join(f"{_case(code, {r[0]: r[i] for r in rows}, None)} as found_{code}_{name}" for code, rows, names in _CATALOGUE for i, name in names) + " from meta",
     "catalog_unknown": f"with {META_SQL} select k, brand from meta where brand in ('other', 'unknown')",
     "catalog_unnest": "select * from (values " + ", ".join(f"({_text(b[0])}, cast({i} as bigint), {_text(h)})" for b in fixed.BRANDS for i, h in enumerate(b[5])) + ") as t(brand_id, position, highlight)",
     "split_assign": f"with {META_SQL} select pair_id, {_SPLIT} from meta",
@@ -117,5 +143,21 @@ select c as conv_id, cast(case r when 'ok' then 200 when 'declined' then 422 els
     "download_name": f"with {META_SQL} select k, 'preview-' || brand || '-' || shape || '-' || volume_cc || 'cc.' || ['jpg', 'png', 'webp', 'png'][k % 4 + 1] as name, 'data:' || {_MIME} || ';base64,' || k as url from meta",
     "provider_error_detail": "select doc_id, substr(text, 1, 500) as detail, string_split(text, ',')[2] as payload from documents",
     "expired_keys": f"with {_HITS} select id % 997 as key from hits group by 1 having max(t) <= (select max(t) from hits) - 86400",
-    "volume_guide": "select * from (values " + ", ".join(f"({_text(a)}, {_text(b)})" for a, b in fixed.VOLUME_GUIDE) + ') as t("range", effect)',
+    "consent_strict": f"with {META_SQL} select k, consent_ref from meta where {GOVERNED_SQL}",
+    "content_length": "select event_id, event_id % 14 <> 13 and event_id % 13 in (0, 1, 3, 5, 6, 9) as ok from events",
+    "provider_flow": f"""with {META_SQL}, {_GUARDS},
+a as (select *, case when g <> 'demo' then g when k % 17 = 0 then 'unreachable' when k % 21 = 20 then 'timeout' when k % 10 = 9 then 'busy' when k % 10 = 7 then 'failed' when k % 3 <> 0 then 'ok' when k % 5 = 0 then 'declined' else 'no_image' end as r from c)
+select k, cast(case r when 'rate' then 429 when 'large' then 413 when 'ok' then 200 when 'declined' then 422 else case when g = 'demo' then 502 else 400 end end as bigint) as status, case when r = 'ok' then false end as demo,
+  case r {" ".join(f"when {_text(x)} then {_SAY[x]}" for x in ("rate", "large", "json", "photo", "mime", "config", "timeout", "unreachable", "busy", "failed", "declined", "no_image"))} end as error,
+  case when r = 'ok' then 'img' || k end as image, case when r = 'ok' then case when k % 2 = 0 then 'image/jpeg' else 'image/png' end end as mime from a""",
+    "provider_bodies": f"""with {META_SQL}, {_GUARDS} select k, '{{"contents":[{{"parts":[{{"inlineData":{{"mimeType":"' || {_MIME} || '","data":"aGk' || k || '"}}}},{{"text":"prompt"}}]}}],"generationConfig":{{"responseModalities":["IMAGE"]}}}}' as body from c where g = 'demo'""",
+    "response_bodies": f"""with {META_SQL}, {_GUARDS} select k, case when g = 'demo' then '{{"demo":true,"image":"aGk' || k || '","mimeType":"' || {_MIME} || '","message":' || to_json({_SAY["demo"]}) || '}}'
+  else '{{"error":' || to_json(case g {" ".join(f"when {_text(x)} then {_SAY[x]}" for x in ("rate", "large", "json", "photo", "mime", "config"))} end) || '}}' end as body from c""",
+    "decoded_images": """select p_partkey as k, p_partkey % 13 <> 0 as decodable, case when p_partkey % 13 <> 0 then 2 + p_partkey % 7 else -1 end as width, case when p_partkey % 13 <> 0 then 1 + p_partkey % 5 else -1 end as height,
+  case when p_partkey % 13 <> 0 then sha256(repeat(chr(cast(33 + p_partkey % 31 as integer)), cast(3 * (2 + p_partkey % 7) * (1 + p_partkey % 5) as bigint))) end as digest from part""",
+    "ingest_flow": f"with {_INGESTED} select label, case when reason is null then null else stage end as stage, reason from ingested",
+    "clean_flow": f"with {_CLEANED} select label, cast(case when reason is null then 2 else 0 end as bigint) as faces, reason from cleaned",
+    "export_flow": f"""with {_CLEANED}, e as (select meta.* from cleaned join meta on clinic || '/' || folder = label where reason is null and meta.k % 3 <> 0),
+s as (select pair_id, {_CAPTION} as instruction, {_SPLIT} from e)
+select pair_id, split, split || '/control/' || pair_id || '.jpg' as control, split || '/target/' || pair_id || '.jpg' as target, instruction from s""",
 }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import lookup, ordered, requests, validation
+from ..session import written
 from ..sources import pairs
-from . import fixtures
+from . import fixtures, flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,11 +26,14 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata that passes every rule, as typed columns, behind the consent gate."""
-    meta = fixtures.meta(spark, sf_dir)
-    whole = fixtures.metadata_json(meta)
-    checked = validation.validated(whole).where("accepted")
-    return validation.consent_gate(checked, F.col("consent_ref"), parity=True)
+    """Metadata behind the consent gate that passes every rule, as typed columns.
+
+    Staged with its outcome: a filter on ``accepted`` itself would carry every rule, and with it a
+    parse of the text for every field, into the filter and into each use of the rows.
+    """
+    meta = validation.consent_gate(fixtures.meta(spark, sf_dir), F.col("consent_ref"), parity=True)
+    checked = validation.validated(fixtures.metadata_json(meta))
+    return written(checked.select("pair_id", "shape", "profile", "brand", "volume_cc", "consent_ref", "accepted"), "accepted").where("accepted")
 
 
 @query
@@ -81,7 +85,7 @@ def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.meta(spark, sf_dir).select("k", "brand", "profile", "shape")
     for dimension, code in ((lookup.brands, "brand"), (lookup.profiles, "profile"), (lookup.shapes, "shape")):
         rows = lookup.look_up(rows, dimension(spark), F.col(code), f"found_{code}")
-    return rows.select("k", "found_brand_name", "found_profile_name", "found_shape_name")
+    return rows.select("k", "found_brand_name", "found_brand_manufacturer", "found_brand_fill", "found_brand_blurb", "found_profile_name", "found_profile_blurb", "found_shape_name", "found_shape_blurb")
 
 
 @query
@@ -106,8 +110,9 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ordered.split_assign(_accepted(spark, sf_dir).withColumn("caption", text.caption(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand"))))
-    return pairs.manifest(rows).drop("meta")
+    rows = validation.exportable(ordered.split_assign(_accepted(spark, sf_dir)), parity=True)
+    captioned = rows.withColumn("caption", text.caption(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand")))
+    return pairs.manifest(captioned.withColumn("meta", F.lit(None))).drop("meta")
 
 
 @query
@@ -151,7 +156,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def client_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     user = F.col("user_id").cast("string")
-    header = F.when(e % 6 == 0, F.lit(None)).when(e % 6 == 1, F.lit(" , 10.0.0.1")).when(e % 6 == 2, F.concat(F.lit("  "), user, F.lit(" ,x"))).otherwise(user)
+    header = F.when(e % 6 == 0, F.lit(None)).when(e % 6 == 1, F.lit(" , 10.0.0.1")).when(e % 6 == 2, F.concat(F.lit("  "), user, F.lit(" ,x"))).when(e % 6 == 3, F.concat(F.lit("\u00a0\t"), user, F.lit("\ufeff"))).otherwise(user)
     return fixtures.table(spark, sf_dir, "events").select("event_id", text.client_key(header).alias("client"))
 
 
@@ -236,11 +241,79 @@ def provider_error_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = fixtures.hits(spark, sf_dir).select((F.col("id") % 997).alias("key"), "t")
     now = hits.agg(F.max("t")).first()[0]
-    state = hits.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("t"), False), 1, 8).alias("times"))
-    return ordered.expired_keys(state, now, 86_400)
+    return ordered.expired_keys(ordered.limiter_state(hits), now, 86_400)
+
+
+@query
+def consent_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.consent_gate(fixtures.governed(spark, sf_dir), F.col("consent_ref"), consents=fixtures.consents(spark, sf_dir), adult=F.col("adult_attested")).select("k", "consent_ref")
+
+
+@query
+def content_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    header = fixtures.pick(e, "2048", "0x10", "2048d", " 12 ", "", "1e3", "0b101", "12500001", "0xFFFFFFFFFFFFFFFFFF", ".5", "-3", "Infinity", "0x")
+    return fixtures.table(spark, sf_dir, "events").select("event_id", requests.content_length_ok(F.when(e % 14 != 13, header)).alias("ok"))
+
+
+@query
+def provider_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests.guarded(fixtures.requests(spark, sf_dir), F.col("limited"), demo=False)
+    answer = requests.answered(rows, fixtures.provided(spark, sf_dir), "k")
+    return answer.select("k", F.col("response.status").cast("long").alias("status"), "response.demo", "response.error", "response.image", F.col("response.mimeType").alias("mime"))
+
+
+@query
+def provider_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests.guarded(fixtures.requests(spark, sf_dir), F.col("limited"), demo=False)
+    return requests.provider_requests(rows, F.lit("prompt"), "k").select("k", F.col("provider_body").alias("body"))
+
+
+@query
+def response_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = requests.guarded(fixtures.requests(spark, sf_dir), F.col("limited"))
+    return rows.select("k", requests.response_json(F.col("response")).alias("body"))
+
+
+@query
+def decoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = pairs.decode_images(spark, fixtures.png_folder(spark, sf_dir))
+    good = pairs.decodable(F.col("image"))
+    key = F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long")
+    return images.select(key.alias("k"), good.alias("decodable"), F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"), F.when(good, ordered.image_digest(F.col("image"))).alias("digest"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[pairs.StageResult, str]:
+    raw = fixtures.raw_folders(spark, sf_dir)
+    staging = raw.replace("/raw-", "/staging-")
+    return flows.ingest(spark, raw, staging, fixtures.pixmap_codec, consents=fixtures.consents(spark, sf_dir), min_side=9), staging
 
 
 @query
-def volume_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.volume_guide(spark)
+def ingest_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result, _ = _ingested(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    return result.accepted.select("label", none.alias("stage"), none.alias("reason")).unionByName(result.rejects)
 
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> tuple[pairs.StageResult, str]:
+    _, staging = _ingested(spark, sf_dir)
+    out = staging.replace("/staging-", "/clean-")
+    return flows.clean(spark, staging, out, fixtures.pixmap_codec, fixtures.red_detector), out
+
+
+@query
+def clean_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result, _ = _cleaned(spark, sf_dir)
+    faces = (F.size("before_faces") + F.size("after_faces")).cast("long")
+    return result.accepted.select("label", faces.alias("faces"), F.lit(None).cast("string").alias("reason")).unionByName(result.rejects.select("label", F.lit(0).cast("long").alias("faces"), "reason"))
+
+
+@query
+def export_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cleaned = _cleaned(spark, sf_dir)
+    out = cleaned.replace("/clean-", "/dataset-")
+    meta = fixtures.meta(spark, sf_dir)
+    audits = meta.select(F.concat_ws("/", "clinic", "folder").alias("label"), (F.col("k") % 3 != 0).alias("audited"))
+    flows.export(spark, cleaned, out, audits=audits, consents=fixtures.consents(spark, sf_dir))
+    return spark.read.schema("pair_id string, split string, control string, target string, instruction string").json(f"{out}/manifest.jsonl")

@@ -26,7 +26,7 @@ def test_volume_types(spark):
     values = [99, 100, 1000, 1001, 350.0, "350", True, 0]
     found = errors_of(spark, [GOOD | {"volume_cc": v} for v in values])
     assert [len(e) for e in found] == [1, 0, 0, 1, 1, 1, 1, 2]
-    assert found[0] == [low + "99"] and found[5] == [low + '"350"'] and found[6] == [low + "true"]
+    assert found[0] == [low + "99"] and found[5] == [low + "'350'"] and found[6] == [low + "True"]
     assert found[7] == ["missing required field 'volume_cc'", low + "0"]
 
 
@@ -182,8 +182,8 @@ def test_folders(spark, tmp_path):
     assert rows["c1"]["before"].endswith("before.jpg") and rows["c1"]["accepted"]
     assert rows["c2"]["errors"] == ["no before.(jpg|png|webp) image"]
     assert pairs.id_collisions(checked).first()["clinics"] == ["c1", "c2"]
-    out = checked.where("accepted").withColumns({"split": F.lit("val"), "caption": F.lit("c"), "audited": F.lit(False)})
-    pairs.write_manifest(out, str(tmp_path / "manifest"))
+    out = checked.where("accepted").withColumns({"split": F.lit("val"), "caption": F.lit("c"), "audited": F.lit(False), "consent_ref": F.lit("a-1"), "adult_attested": F.lit(True)})
+    pairs.write_manifest(out, str(tmp_path / "manifest"), parity=True)
     line = json.loads(next(p for p in (tmp_path / "manifest").iterdir() if p.suffix == ".json").read_text().splitlines()[0])
     assert list(line) == ["pair_id", "split", "control", "target", "instruction", "meta"] and line["meta"] == GOOD
     pairs.write_dataset(out, str(tmp_path / "dataset"))
