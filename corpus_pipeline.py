@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import encoding, language_id, line_dedup, mixing, ngram_join, packing
-from quillstone.llm.common import staged, table
+from quillstone.llm.common import discard, staged, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.select(*[F.col("__lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
-#: Words that a run of lines must hold to be a copy here: as many as a shingle of the n-gram join.
-RUN_WORDS = 5
-
-
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs of RUN_WORDS words; those of which nothing is left go."""
-    left = line_dedup.dedup_lines(docs, RUN_WORDS).where("__n_removed = 0 or __n_removed < __n_lines")
+    """Documents without later copies of line runs; those of which nothing is left go."""
+    left = line_dedup.dedup_lines(docs).where("__n_removed = 0 or __n_removed < __n_lines")
     chars = F.when(F.col("__n_removed") > 0, F.length("text").cast("long"))
     return left.select(*[F.coalesce(chars, F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
@@ -77,5 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
