@@ -46,13 +46,21 @@ def family_of(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if code in codes.split()), f"only {lang}")
 
 
-def gram_buckets(data: np.ndarray, order: int) -> np.ndarray:
-    """The bucket of the n-gram that begins at each byte; ASCII letters count in lower case."""
+def gram_buckets(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """The bucket of the n-gram that begins at each byte; ASCII letters count in lower case.
+
+    The last ones of a text are cut short by its end, whatever text comes next.
+    """
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
     h = low.copy()
     for k in range(1, order):
         h *= np.uint32(0x01000193)
-        h[:-k] ^= low[k:]
+        after = np.zeros_like(low)
+        after[:-k] = low[k:]
+        for j in range(1, k + 1):
+            past = at[1:] - j
+            after[past[past >= at[:-1]]] = 0
+        h ^= after
     h *= np.uint32(0x9E3779B1)
     return (h >> np.uint32(32 - BITS)) + np.uint32((order - 1) << BITS)
 
@@ -66,7 +74,7 @@ def mean_margins(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.nd
         part = data[first : first + step + ORDERS - 1]
         n = min(step, len(data) - first)
         for order in range(1, ORDERS + 1):
-            which = gram_buckets(part, order)[:n]
+            which = gram_buckets(part, at if n == len(data) else np.array([0, len(part)]), order)[:n]
             for j in range(weights.shape[1]):
                 sums[:, j] += ragged_sums(weights[:, j][which], at if n == len(data) else np.array([0, n]))
     return sums / np.maximum(1, ORDERS * np.diff(at))[:, None]
@@ -78,7 +86,7 @@ def features(texts: list[str]) -> np.ndarray:
     for i, text in enumerate(texts):
         data = np.frombuffer(text.encode(), np.uint8)
         for order in range(1, ORDERS + 1):
-            out[i] += np.bincount(gram_buckets(data, order), minlength=ORDERS << BITS)
+            out[i] += np.bincount(gram_buckets(data, np.array([0, len(data)]), order), minlength=ORDERS << BITS)
         out[i] *= SCALE / max(1, ORDERS * len(data))
     return out
 
