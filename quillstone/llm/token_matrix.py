@@ -27,7 +27,7 @@ from . import encoding
 from .common import shared_dir, table, text_slices
 
 #: The entry's first bytes, and the layout of its header: bits, tokens, documents, null ids.
-MAGIC, HEADER = b"QWM1", struct.Struct("<4sIQQ")
+MAGIC, HEADER = b"QWM2", struct.Struct("<4sIQQ")
 #: Positions between two stored ranks.
 BLOCK = 512
 #: A shard is closed once it holds so many tokens; a longer document still stays whole.
@@ -42,26 +42,37 @@ def _levels(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         ids = np.concatenate([ids[~plane], ids[plane]])
 
 
+def _ranks(plane: np.ndarray) -> np.ndarray:
+    """The ones before each ``BLOCK`` of a packed plane, and in all of it; a shard has fewer than 2**32 ids."""
+    step = BLOCK // 8
+    blocks = np.pad(plane, (0, -len(plane) % step)).reshape(-1, step // 8, 8).view(np.uint64)[..., 0]
+    return np.concatenate([[0], np.cumsum(np.bitwise_count(blocks).sum(1, dtype=np.int64))])
+
+
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """One shard as bytes: header, document table, then each bit-plane compressed by itself."""
+    """One shard as bytes: header, document table, the ranks of all bit-planes, then each plane compressed by itself."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     squeeze = zstandard.ZstdCompressor(level=1).compress
     names = np.array([0 if d is None else d for d in doc_ids], np.int64)
     absent = np.array([d is None for d in doc_ids], bool)
-    parts = [np.packbits(plane, bitorder="little").tobytes() for plane in _levels(ids, bits)]
-    parts = [squeeze(x) for x in (names.tobytes(), absent.tobytes(), lengths.astype(np.int64).tobytes(), *parts)]
+    planes = [np.packbits(plane, bitorder="little") for plane in _levels(ids, bits)]
+    ranks = np.array([_ranks(plane) for plane in planes], np.uint32)
+    parts = [squeeze(x.tobytes()) for x in (names, absent, lengths.astype(np.int64), ranks, *planes)]
     sizes = struct.pack(f"<{len(parts)}Q", *map(len, parts))
     return b"".join([HEADER.pack(MAGIC, bits, len(ids), len(names)), sizes, *parts])
 
 
 class WaveletMatrix:
-    """An opened shard.  Ranks are stored every ``BLOCK`` positions; the rest is counted in the plane."""
+    """An opened shard.  The file holds the rank of every ``BLOCK``-th position; the rest is counted in the plane.
+
+    ``select`` finds its block by binary search in the stored ranks.
+    """
 
     def __init__(self, data: bytes):
         magic, self.bits, self.n, docs = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
-        sizes = struct.unpack_from(f"<{self.bits + 3}Q", data, HEADER.size)
+        sizes = struct.unpack_from(f"<{self.bits + 4}Q", data, HEADER.size)
         at, parts = HEADER.size + 8 * len(sizes), []
         for size in sizes:
             parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + size]))
@@ -69,8 +80,8 @@ class WaveletMatrix:
         self.doc_ids = np.frombuffer(parts[0], np.int64)
         self.absent = np.frombuffer(parts[1], bool)
         self.lengths = np.frombuffer(parts[2], np.int64)
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[3:]]
-        self._ranks: list[np.ndarray] | None = None
+        self.ranks = np.frombuffer(parts[3], np.uint32).reshape(self.bits, -1)
+        self.planes = [np.frombuffer(p, np.uint8) for p in parts[4:]]
 
     def decode(self) -> np.ndarray:
         """All ids in order, by undoing the levels from the last to the first."""
@@ -86,19 +97,13 @@ class WaveletMatrix:
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a level."""
-        if self._ranks is None:
-            step = BLOCK // 8
-            self._ranks = []
-            for p in self.planes:
-                blocks = np.pad(p, (0, -len(p) % step)).reshape(-1, step)
-                self._ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(blocks).sum(1, dtype=np.int64))]))
         block, plane = i // BLOCK, self.planes[level]
         whole = plane[block * BLOCK // 8 : i // 8]
         tail = int(plane[i // 8] & ((1 << i % 8) - 1)).bit_count() if i % 8 else 0
-        return int(self._ranks[level][block]) + int(np.bitwise_count(whole).sum()) + tail
+        return int(self.ranks[level, block]) + int(np.bitwise_count(whole).sum()) + tail
 
     def _zeros(self, level: int) -> int:
-        return self.n - self._ones(level, self.n)
+        return self.n - int(self.ranks[level, -1])
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -141,12 +146,12 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = token >> (self.bits - 1 - level) & 1
             goal = i - self._zeros(level) if one else i
-            low, high = 0, self.n - 1  # the first position whose bit is the goal-th of its kind
-            while low < high:
-                mid = (low + high) // 2
-                ones = self._ones(level, mid + 1)
-                low, high = (low, mid) if (ones if one else mid + 1 - ones) > goal else (mid + 1, high)
-            i = low
+            # the block that holds the goal-th bit of its kind, then its place within
+            ranks = self.ranks[level].astype(np.int64)
+            kind = ranks if one else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
+            block = int(np.searchsorted(kind, goal, "right")) - 1
+            bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
+            i = block * BLOCK + int(np.flatnonzero(bits == one)[goal - int(kind[block])])
         return i
 
 
@@ -182,7 +187,9 @@ def write_token_shards(docs: DataFrame, vocabulary: str, end_id: int, path: str,
         if names:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    # ranges of doc_id and of the texts under one, so that a doc_id on many rows isn't one task
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(shards, "part int, number int, n_tokens long, matrix binary").write.parquet(path)
 
 
