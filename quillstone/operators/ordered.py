@@ -57,7 +57,8 @@ def dedupe_greedy(pairs: DataFrame) -> DataFrame:
     is new registers the digest, even if the pair fails later; ``after`` is looked at only if
     ``before`` was accepted.  Acceptance hangs on strictly earlier stems alone, so there is one
     fixed point: start with every ``after`` looked at, find each digest's first stem, look again
-    only where ``before`` was accepted, and repeat until nothing changes.
+    only where ``before`` was accepted, and repeat until nothing changes.  A chain of pairs each of
+    which fails by the one before costs a round a link.
     """
     state = written(pairs.withColumn("__look", F.col("before_ok") & F.col("after_ok")), "dedupe-0")
     while True:

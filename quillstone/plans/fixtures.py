@@ -60,7 +60,7 @@ META_SQL = """meta as (
 
 def metadata_json(rows: DataFrame) -> DataFrame:
     """``rows`` of meta with the JSON text that a clinic would send; a few texts are cut short."""
-    names = [n for n in ("pair_id", "shape", "view", "brand", "profile", "volume_cc", "consent_ref", "adult_attested") if n in rows.columns]
+    names = [n for n in ("pair_id", "shape", "view", "brand", "profile", "volume_cc", "consent_ref", "adult_attested", "clothing", "months_post_op") if n in rows.columns]
     whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     return rows.withColumn("meta_json", F.when(F.col("k") % 31 == 0, F.expr("substring(pair_id, 1, 5)")).otherwise(whole))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..functions import json as js
 from ..operators import media, ordered, validation
-from ..session import written
+from ..session import looked_up, written
 from ..sources import pairs
 
 STEMS = ("before", "after")
@@ -27,6 +27,13 @@ def _governed(meta: Column) -> dict[str, Column]:
     return {"consent_ref": js.as_text(meta, "consent_ref"), "adult_attested": F.when(js.kind(meta, "adult_attested") == "BOOLEAN", F.try_variant_get(meta, "$.adult_attested", "boolean"))}
 
 
+def _with_contents(kept: DataFrame, images: DataFrame) -> DataFrame:
+    """``kept`` with each stem's content out of ``images`` (label, stem, content)."""
+    for s in STEMS:
+        kept = kept.join(images.where(F.col("stem") == s).select("label", F.col("content").alias(s)), "label")
+    return kept
+
+
 def ingest(spark: SparkSession, raw: str, staging: str, codec: Callable = media.installed_codec, parity: bool = False, consents: DataFrame | None = None, min_side: int = fixed.MIN_DIMENSION) -> pairs.StageResult:
     """Raw folders to staged pairs: validated, consented, decoded, large enough, new, encoded anew.
 
@@ -40,7 +47,7 @@ def ingest(spark: SparkSession, raw: str, staging: str, codec: Callable = media.
     sound = read.where("accepted")
     usable = written(ordered.ordered_paths(validation.consent_gate(sound, F.col("consent_ref"), parity, consents, F.col("adult_attested")), "clinic", "folder"), "ingest-usable")
     listed = usable.select("label", F.explode(F.array(*[F.struct(F.lit(s).alias("stem"), F.col(s).alias("path")) for s in STEMS])).alias("x")).select("label", "x.*")
-    images = written(media.reencoded(pairs.image_contents(spark, raw, listed), codec), "ingest-images")
+    images = written(media.reencoded(pairs.image_contents(spark, raw, written(listed, "ingest-listed")), codec), "ingest-images")
     side = lambda s, *names: images.where(F.col("stem") == s).select("label", *[F.col(n).alias(f"{s}_{n}") for n in names])
     told = usable.select("label", "ord")
     for s in STEMS:
@@ -55,9 +62,7 @@ def ingest(spark: SparkSession, raw: str, staging: str, codec: Callable = media.
     duplicate = F.col("duplicate_of")
     reason = F.coalesce("before_bad", F.when(duplicate.startswith("before"), duplicate), "after_bad", duplicate)
     judged = written(judged.select("label", "accepted", reason.alias("reason")), "ingest-judged")
-    kept = usable.join(judged.where("accepted").select("label"), "label")
-    for s in STEMS:
-        kept = kept.drop(s).join(images.where(F.col("stem") == s).select("label", F.col("content").alias(s)), "label")
+    kept = _with_contents(usable.drop(*STEMS).join(judged.where("accepted").select("label"), "label"), images)
     staged = kept.select("label", "clinic", F.col("folder").alias("pair_id"), "meta_json", *STEMS)
     accepted = pairs.write_stage(staged, staging)
     withheld = sound.join(usable.select("label"), "label", "left_anti").withColumn("reason", F.lit("no active consent of an attested adult"))
@@ -72,12 +77,10 @@ def clean(spark: SparkSession, staging: str, out: str, codec: Callable = media.i
     rows = pairs.read_stage(spark, staging)
     images = rows.select("label", F.explode(F.array(*[F.struct(F.lit(s).alias("stem"), F.col(s).alias("content")) for s in STEMS])).alias("x")).select("label", "x.*")
     done = written(media.deidentify(images, codec, detector, allow_no_face, crop_top), "clean-images")
-    told = rows.select("label", "clinic", "pair_id", "meta_json")
-    for s in STEMS:
-        told = told.join(done.where(F.col("stem") == s).select("label", F.col("content").alias(s), F.col("faces").alias(f"{s}_faces"), F.col("reason").alias(f"{s}_reason")), "label")
-    told = written(told.withColumn("reason", F.coalesce("before_reason", "after_reason")).drop("before_reason", "after_reason"), "clean-told")
-    kept = told.where("reason is null").drop("reason")
-    return pairs.StageResult(pairs.write_stage(kept, out), validation.rejects(told, F.col("label"), "deidentify", F.col("reason")))
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct((F.col("stem") != STEMS[0]).alias("second"), "reason")))["reason"]
+    told = written(done.groupBy("label").agg(first.alias("reason"), *[F.first(F.when(F.col("stem") == s, F.col("faces")), ignorenulls=True).alias(f"{s}_faces") for s in STEMS]), "clean-told")
+    kept = rows.drop(*STEMS).join(told.where("reason is null").drop("reason"), "label")
+    return pairs.StageResult(pairs.write_stage(_with_contents(kept, done), out), validation.rejects(told, F.col("label"), "deidentify", F.col("reason")))
 
 
 def dataset(spark: SparkSession, cleaned: str, audits: DataFrame | None = None, parity: bool = False, consents: DataFrame | None = None, seed: int = 42, fraction: float = 0.1) -> pairs.StageResult:
@@ -88,16 +91,18 @@ def dataset(spark: SparkSession, cleaned: str, audits: DataFrame | None = None,
     """
     rows = pairs.read_stage(spark, cleaned)
     meta = js.parsed(F.col("meta_json"))
-    told = rows.withColumns(_governed(meta) | {"meta": meta, **{c: js.as_text(meta, c) for c in ("shape", "profile", "brand")}, "volume_cc": F.try_variant_get(meta, "$.volume_cc", "long")})
+    fields = {c: js.as_text(meta, c) for c in ("shape", "profile", "brand")} | {"volume_cc": F.try_variant_get(meta, "$.volume_cc", "long")}
+    told = rows.drop(*STEMS).withColumns(_governed(meta) | fields)
     audited = audits.groupBy("label").agg(F.bool_and("audited").alias("audited")) if audits is not None else spark.createDataFrame([], "label string, audited boolean")
-    told = written(told.join(audited, "label", "left"), "dataset-rows")
+    told = written(told.join(audited, "label", "left"), "dataset-rows")  # images stay where they are until a pair is cleared
     shared = pairs.id_collisions(told).select("pair_id")
     ready = written(validation.exportable(told.join(shared, "pair_id", "left_anti"), parity, consents), "dataset-ready")
-    split = ordered.split_assign(ready, seed=seed, fraction=fraction)
-    captioned = split.withColumn("caption", text.caption(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand")))
+    captioned = ordered.split_assign(ready, seed=seed, fraction=fraction).withColumn("caption", text.caption(F.col("volume_cc"), F.col("shape"), F.col("profile"), F.col("brand")))
+    captioned = written(captioned, "dataset-split")
+    accepted = looked_up(rows.select("label", *STEMS), captioned, "label").withColumn("meta", meta)
     why = told.select("label", "pair_id").join(shared.withColumn("twice", F.lit(True)), "pair_id", "left").join(ready.select("label", F.lit(True).alias("ready")), "label", "left")
     reason = F.when(F.col("twice"), "pair_id stands in several clinics").when(F.col("ready").isNull(), "not cleared for export")
-    return pairs.StageResult(captioned, validation.rejects(why, F.col("label"), "export", reason))
+    return pairs.StageResult(accepted, validation.rejects(why, F.col("label"), "export", reason))
 
 
 def export(spark: SparkSession, cleaned: str, out: str, **options) -> pairs.StageResult:

@@ -38,6 +38,10 @@ listed as (select *, case when k % 31 = 0 then ['meta.json is not valid JSON'] e
   case when before is null then 'no before.(jpg|png|webp) image' end,
   case when after is null then 'no after.(jpg|png|webp) image' end], lambda x: x is not null) end as errors from meta)"""
 
+_STRICT = _ERRORS.replace("  case when before is null", """  case when k % 4 = 3 then 'clothing is not in its domain' end,
+  case when k % 9 = 0 then 'months_post_op must be a number of at least 0' end,
+  case when before is null""")
+
 _SPLIT = "case when row_number() over (order by md5('42:' || pair_id), pair_id) <= case when count(*) over () > 1 then greatest(1, cast(floor(count(*) over () * 0.1) as bigint)) else 0 end then 'val' else 'train' end as split"
 
 _REASONS = f"""{BOXES_SQL},
@@ -83,6 +87,7 @@ _CLEANED = f"""{_INGESTED}, cleaned as (select label, case when k % 4 = 0 then '
 
 ORACLE_SQL: dict[str, str] = {
     "validate_errors": f"with {_ERRORS} select k, array_to_string(errors, '; ') as errors, cast(len(errors) as bigint) as n_errors, len(errors) = 0 as accepted from listed",
+    "schema_errors": f"with {_STRICT} select k, array_to_string(errors, '; ') as errors from listed",
     "accept_reject_counts": f"with {_ERRORS} select cast(count(*) filter (len(errors) = 0) as bigint) as accepted, cast(count(*) filter (len(errors) > 0) as bigint) as rejected from listed",
     "consent_gate": f"with {META_SQL} select k, consent_ref from meta where consent_ref <> ''",
     "reject_reasons": f"with {_REASONS} select * from reasons where reason is not null",

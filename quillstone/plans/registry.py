@@ -41,6 +41,14 @@ def validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir).select("k", validation.joined_errors(F.col("errors")).alias("errors"), F.size("errors").cast("long").alias("n_errors"), "accepted")
 
 
+@query
+def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    meta = fixtures.meta(spark, sf_dir).withColumn("clothing", fixtures.pick(k, "nude", "bra", "top", "coat")).withColumn("months_post_op", k % 9 - 1)
+    rows = validation.validated(fixtures.metadata_json(meta), strict_schema=True)
+    return rows.select("k", validation.joined_errors(F.col("errors")).alias("errors"))
+
+
 @query
 def accept_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.outcome_counts(_validated(spark, sf_dir), F.col("accepted"))

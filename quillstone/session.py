@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of a few values each up to which a table is joined by a broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def looked_up(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to the staged ``few``: by a broadcast where it is that, else by a join whose hot keys Spark splits."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quillstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -125,6 +125,22 @@ def test_streaming_limiter(spark, tmp_path):
     assert {r["id"]: r["blocked"] for r in spark.table("judged").collect()} == limit_model(rows)
 
 
+def test_streaming_limiter_that_forgets(spark, tmp_path):
+    import time
+
+    rows = hits(3, 60)
+    spark.createDataFrame(rows, "key string, t long, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, t long, id long").parquet(str(tmp_path / "in"))
+    q = limit_stream(stream, forget_idle=True).writeStream.format("memory").queryName("forgetful").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        end = time.time() + 60
+        while spark.table("forgetful").count() < len(rows) and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert {r["id"]: r["blocked"] for r in spark.table("forgetful").collect()} == limit_model(rows)
+
+
 def test_split(spark):
     for n, wanted in ((0, 0), (1, 0), (2, 1), (10, 1), (25, 2), (400, 40)):
         df = spark.createDataFrame([(f"p{i}",) for i in range(n)], "pair_id string")
