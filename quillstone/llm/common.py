@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import BROADCAST_ROWS, looked_up, shared_dir  # noqa: F401
 
 #: Bytes of text handled at once by the vectorised readers; bounds their memory.
 SLICE_BYTES = 2 << 20

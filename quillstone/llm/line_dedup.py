@@ -14,7 +14,7 @@ qualifying run at a place, read forwards or backwards; all places in it but the
 copies, and the union of such runs is exactly the union of all maximal qualifying later copies.
 
 No group is gathered: ranks and first places come from aggregations with partial sums and from
-joins that Spark splits when a line is hot.  Lists are held per document only.
+joins of staged tables, which are broadcast if they are small and split by Spark where a line is hot.  Lists are held per document only.
 
 Defined results: null texts stay null, with no lines; empty texts and lines without a word are
 never deleted; of repeated rows the later are copies of the first, where a null doc_id comes
@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, looked_up, staged, table
 
-#: What the SQL of op1 says; the corpus pipeline lets shorter runs qualify.
-MIN_WORDS = 50
+#: Words that a run of lines must hold to be a copy: as many as a shingle of the n-gram join.
+MIN_WORDS = 5
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -49,12 +49,15 @@ def line_runs(base: DataFrame, min_words: int) -> DataFrame:
     lines = staged(lines, "lines")
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     ranked = staged(repeated.orderBy("h1", "h2").withColumn("r", F.monotonically_increasing_id()), "line-ranks")
+    # lines and ranks are both staged, so that Spark splits the join where a line is hot
     active = lines.join(ranked, ["h1", "h2"]).select("__row", "__doc", "__seq", "line", "w", "r")
     place = Window.partitionBy("__row").orderBy("__seq")
     runs = active.withColumn("__run", F.col("__seq") - F.row_number().over(place)).withColumn("sum", F.sum("w").over(place)).groupBy("__row", "__run")
     gathered = runs.agg(F.first("__doc").alias("__doc"), F.array_sort(F.collect_list(F.struct("__seq", "line", "w", "sum", "r"))).alias("x"), F.sum("w").alias("words"))
     gathered = gathered.where(F.col("words") >= min_words).select("__row", "__doc", *[F.col(f"x.{c}").alias(f"__{c}") for c in ("line", "w", "sum", "r")])
-    return staged(gathered, "line-runs")  # what follows reads the lists by place, so they must stand as columns
+    out = staged(gathered, "line-runs")  # what follows reads the lists by place, so they must stand as columns
+    discard(lines, ranked)
+    return out
 
 
 def shortest_windows(min_words: int) -> Column:
@@ -83,7 +86,7 @@ def later_copies(runs: DataFrame, min_words: int) -> DataFrame:
     """__row and __line of every line that a later copy of a qualifying run covers, once each."""
     state = staged(runs.withColumn("__win", shortest_windows(min_words)).withColumn("__head", F.get("__line", F.lit(0))).drop("__w", "__sum"), "line-runs-0")
     deepest = state.agg(F.max(F.array_max(F.transform("__win", lambda x: x["m"])))).first()[0] or 0
-    found, size, level = None, 1, 0
+    found, states, size, level = None, [state], 1, 0
     while size <= deepest:
         # places whose shortest qualifying run has `size` to 2 * size - 1 lines: two overlapping halves name it
         here = F.filter("__win", lambda x: (x["m"] >= size) & (x["m"] < 2 * size))
@@ -94,14 +97,18 @@ def later_copies(runs: DataFrame, min_words: int) -> DataFrame:
         found = windows if found is None else found.unionByName(windows)
         if 2 * size <= deepest:
             state = doubled(state, size, level)
+            states.append(state)
         size, level = 2 * size, level + 1
     if found is None:
         return state.select("__row", F.explode("__line").alias("__line"))
     found = staged(found, "line-windows")
+    discard(*states)
     place = F.struct("__doc", "__row", F.get("lines", F.lit(0)).alias("at"))
-    first = found.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "a", "b", "first")
-    later = found.join(first, ["m", "a", "b"]).where((F.col("__row") != F.col("first.__row")) | (F.get("lines", F.lit(0)) != F.col("first.at")))
-    return later.select("__row", F.explode("lines").alias("__line")).distinct()
+    first = staged(found.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "a", "b", "first"), "line-firsts")
+    later = looked_up(found, first, ["m", "a", "b"]).where((F.col("__row") != F.col("first.__row")) | (F.get("lines", F.lit(0)) != F.col("first.at")))
+    out = staged(later.select("__row", F.explode("lines").alias("__line")).distinct(), "line-copies")
+    discard(found, first)
+    return out
 
 
 def doubled(state: DataFrame, size: int, level: int) -> DataFrame:
@@ -116,13 +123,17 @@ def doubled(state: DataFrame, size: int, level: int) -> DataFrame:
     named = whole.join(ranked, ["a", "b"], "left").select("__row", "__head", "i", "r").unionByName(none)
     lists = named.groupBy("__row", "__head").agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("__x")).select("__row", "__head", F.col("__x.r").alias("__next"))
     merged = state.join(lists, ["__row", "__head"]).withColumn("__r", F.col("__next"))
-    return staged(merged.select(*state.columns), f"line-runs-{level + 1}")
+    out = staged(merged.select(*state.columns), f"line-runs-{level + 1}")
+    discard(exploded, ranked)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any others) without later copies; adds __n_lines and __n_removed."""
     base = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
-    copies = later_copies(line_runs(base, min_words), min_words)
+    runs = line_runs(base, min_words)
+    copies = later_copies(runs, min_words)
+    discard(runs)
     removed = copies.groupBy("__row").agg(F.collect_set("__line").alias("__gone"))
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
@@ -142,14 +153,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
-ORACLE = r"""
+ORACLE = rf"""
 with raw as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 a as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as line from raw where text is not null),
 b as (select *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t,
         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w from a),
 l as (select *, sum(w) over (partition by doc_id order by i) as c, row_number() over (partition by doc_id order by i) as q from b where w > 0),
-f as (select s.doc_id, s.q as s, min(e.q) as e from l s join l e on s.doc_id = e.doc_id and e.q >= s.q and e.c - s.c + s.w >= 50 group by 1, 2),
-k as (select e.doc_id, max(s.q) as s, e.q as e from l s join l e on s.doc_id = e.doc_id and e.q >= s.q and e.c - s.c + s.w >= 50 group by e.doc_id, e.q),
+f as (select s.doc_id, s.q as s, min(e.q) as e from l s join l e on s.doc_id = e.doc_id and e.q >= s.q and e.c - s.c + s.w >= {MIN_WORDS} group by 1, 2),
+k as (select e.doc_id, max(s.q) as s, e.q as e from l s join l e on s.doc_id = e.doc_id and e.q >= s.q and e.c - s.c + s.w >= {MIN_WORDS} group by e.doc_id, e.q),
 n as (select doc_id, s, e from f union select doc_id, s, e from k),
 z as (select n.doc_id, n.s, n.e, string_agg(l.t, chr(10) order by l.q) as body
       from n join l on l.doc_id = n.doc_id and l.q between n.s and n.e group by 1, 2, 3),
