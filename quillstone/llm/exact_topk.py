@@ -2,7 +2,8 @@
 
 Within a block of vectors every dimension is a list sorted by its component.  A query reads the
 lists with a positive weight from the top and those with a negative weight from the bottom, all
-to the same depth.  What it has read of a vector is summed up; a component not read yet lies
+to the same depth.  What it has read of a vector is summed up, for all queries and the places of
+one round at once; a component not read yet lies
 between the list's far end and the place where reading stands, which bounds the vector's score
 from below and above.  Reading goes on, the unread rest of the lists halving with every round,
 until no more than ``LEAST_LEFT`` times k vectors can still reach the k-th best lower bound;
@@ -48,8 +49,8 @@ class Lists:
         self.place = np.empty_like(self.order)
         np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
 
-    def in_question(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], int]:
-        """For each query the row numbers that may be among its k best, ties included, and the depth read.
+    def in_question(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[np.ndarray]:
+        """For each query the row numbers that may be among its k best, ties included.
 
         ``own`` marks (query, row) pairs that aren't candidates; ``floor`` holds for each query a
         score that k candidates elsewhere reach.
@@ -61,20 +62,16 @@ class Lists:
         here, read = np.arange(self.n), 0
         while len(who):
             up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-            wanted = np.zeros(self.n, bool)
-            wanted[here] = True
             depth = read + (self.n - read + 1) // 2
-            for d in range(self.dim):
-                top, bottom = self.order[self.n - depth : self.n - read, d], self.order[read:depth, d]
-                top, bottom = top[wanted[top]], bottom[wanted[bottom]]
-                known[top] += self.rows[top, d][:, None] * up[:, d]
-                known[bottom] += self.rows[bottom, d][:, None] * down[:, d]
+            # the places that this round reads; all others count 0
+            place, rows = self.place[here], self.rows[here]
+            top, bottom = (place >= self.n - depth) & (place < self.n - read), (place >= read) & (place < depth)
+            known[here] += np.where(top, rows, 0.0) @ up.T + np.where(bottom, rows, 0.0) @ down.T
             read = depth
             upper = lower = known[here]
             if read < self.n:
                 # a component not read yet lies beyond the place where reading stands
-                high = (self.place[here] < self.n - read).astype(np.float64)
-                low = (self.place[here] >= read).astype(np.float64)
+                high, low = (place < self.n - read).astype(np.float64), (place >= read).astype(np.float64)
                 upper = known[here] + high @ (up * self.sorted[self.n - read]).T + low @ (down * self.sorted[read - 1]).T
                 lower = known[here] + high @ (up * least).T + low @ (down * most).T
             live = alive[here]
