@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_held_out, table, text_slices
+from .common import discard, is_held_out, table, text_slices
 from .learning import fit_logistic, labelled_texts, logistic
 
 WINDOW, LEVEL, DICT_BYTES = 4096, 3, 64 << 10
@@ -84,8 +84,9 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
     """Fit on a bounded sample of ``labels`` (doc_id, quality) joined to ``docs`` (doc_id, text)."""
     short = docs.where(F.length("text").between(1, max_chars))
-    rows = labelled_texts(short, labels, "quality", per_class, "quality-sample").collect()  # at most about 2 * per_class rows of max_chars
-    rows.sort()
+    sample = labelled_texts(short, labels, "quality", per_class, "quality-sample")
+    rows = sorted(sample.collect())  # at most about 2 * per_class rows of max_chars
+    discard(sample)
     texts = [(r["quality"], r["text"].encode()) for r in rows]
     return Model([t for q, t in texts if q == 1], [t for q, t in texts if q == 0])
 

@@ -185,7 +185,8 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on a bounded sample of ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text)."""
     back = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4)) == 0
-    sample = labelled_texts(docs, labels, "toxic", per_class, "toxic-sample").withColumn("back", back)
+    texts = labelled_texts(docs, labels, "toxic", per_class, "toxic-sample")
+    sample = texts.withColumn("back", back)
     sizes = {(r["toxic"], r["back"]): r["n"] for r in sample.groupBy("toxic", "back").agg(F.count("*").alias("n")).collect()}
     counted = staged(count_units(sample.where(~F.col("back")).dropDuplicates(["text"])), "toxic-units")
     totals = counted.agg(F.sum("clean"), F.sum("toxic")).first()
@@ -205,10 +206,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         fitted = "back" if all(sizes.get((c, True)) for c in (0, 1)) else "true"
         seen = features_of(sample.where(fitted).select("toxic", "text"), model).collect()  # at most about per_class / 2 rows of numbers
         seen.sort()
-        discard(sample)
         # one passage-free clean and one certain toxic example more keep the fit finite
         x = np.array([r["x"] for r in seen] + [[0.0, 0.0, 0.0], [20.0, np.log(2.0), 1.0]])
         model.fit = fit_logistic(x, np.array([float(r["toxic"]) for r in seen] + [0.0, 1.0]))
+    discard(texts)
     return model
 
 
