@@ -8,8 +8,11 @@ deviate over its quality weight, keys are sorted within the source, sizes are su
 documents are taken while the sum stays within the budget.  Documents are taken whole; the one
 document of the rest whose size comes nearest to the remaining gap closes it.
 
-The targets' level is found by a few sums over the sources, and no source is sorted in one task: keys fall into buckets of at most about ``BUCKET_ROWS`` documents
-(more where a source would have over ``MOST_BUCKETS``), the buckets' sums give each bucket its starting sum, and only a bucket is sorted at a time.
+The targets' level is found by a few sums over the sources, and no source is sorted in one task:
+keys fall into buckets of at most about ``BUCKET_ROWS`` documents (more where a source would have
+over ``MOST_BUCKETS``), the buckets' sums tell in which one the budget ends, and only that one is
+sorted.  What the mix takes is then told from a row's own key and its source's place of that end,
+so texts aren't shuffled.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source;
 repeated rows are documents each for itself; ties of keys go to the smaller doc_id and size (null
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_RE, discard, staged, table
 
-SHARE, MOST_EPOCHS, SEED, BUCKET_ROWS, VARIED = 1.5, 2.0, 17, 1024, 0.9
+SHARE, MOST_EPOCHS, SEED, BUCKET_ROWS, VARIED = 1.5, 2.0, 17, 256, 0.9
 #: Stretches of a source's keys, but for those of the least weight; their sums are added up in one task a source.
 MOST_BUCKETS = 100_000
 #: Sources up to which the table of targets is broadcast; beyond, Spark joins it by shuffling.
@@ -90,10 +93,34 @@ def numbered(sums: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(offsets), part == F.col("__p")).withColumn("__number", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__start")
 
 
+def _bucket() -> Column:
+    """A stretch of keys in which exponential deviates of any weight lie thinly: even below 1, in even ratios above."""
+    near = F.when(F.col("__key") < 1, F.col("__key")).otherwise(1 + F.log(F.least("__key", F.lit(1e300))))
+    return F.floor(near * F.col("__buckets"))
+
+
+def _place() -> Column:
+    return F.struct("__key", "doc_id", "__size", "__row")
+
+
+def _within() -> Column:
+    """Whether a row (beside its source's plan) stands among those that fill the rest of the target."""
+    before = (_bucket() < F.col("__edge")) | ((_bucket() == F.col("__edge")) & F.coalesce(_place() <= F.col("__last"), F.lit(False)))
+    return (F.col("__size") > 0) & (F.col("__edge").isNull() | before)
+
+
+def beside(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their source's row of the staged ``plan``, which is broadcast unless sources are many."""
+    side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    return rows.join(side, F.col("source").eqNullSafe(F.col("__source")))
+
+
 def choose(light: DataFrame, weights: DataFrame | None = None, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
-    """``light`` (staged: __row, doc_id, source, __size, __key) with source_size, target and __copies.
+    """The mix as a staged plan, one row a source: what ``with_copies`` needs to tell how often a row is taken.
 
-    ``weights`` has source and weight; without it sources by code point, null last, weigh ``cycle`` in turn.
+    ``light`` (staged) has __row, doc_id, source, __size and __key.  ``weights`` has source and
+    weight; without it sources by code point, null last, weigh ``cycle`` in turn.  Of all rows only
+    those of each source's bucket in which the budget ends are sorted.
     """
     sums = light.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__n"))
     if weights is None:
@@ -105,31 +132,38 @@ def choose(light: DataFrame, weights: DataFrame | None = None, cycle: tuple[floa
     goal = sums.withColumn("target", F.least(most_epochs * F.col("source_size"), F.lit(water) * F.col("weight")))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("__epochs", full).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size")).withColumn("__buckets", F.least((F.col("__n") / BUCKET_ROWS).cast("long"), F.lit(MOST_BUCKETS)) + 1)
-    goal = staged(goal.withColumnRenamed("source", "__source"), "mix-targets")
+    goal = staged(goal.withColumnRenamed("source", "__source").drop("__n", "weight"), "mix-targets")
     discard(sums)
-    few = goal.count() <= BROADCAST_SOURCES
-    side = lambda df: F.broadcast(df) if few else df
-    here = light.join(side(goal), F.col("source").eqNullSafe(F.col("__source")))
-    # a stretch of keys in which exponential deviates of any weight lie thinly: even below 1, in even ratios above
-    near = F.when(F.col("__key") < 1, F.col("__key")).otherwise(1 + F.log(F.least("__key", F.lit(1e300))))
-    bucket = F.floor(near * F.col("__buckets"))
-    here = here.withColumn("__bucket", bucket)
-    groups = here.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__total"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = groups.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
-    placed = here.join(bases, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    order = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "__size", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("__sum", F.col("__base") + F.sum("__size").over(order))
-    placed = staged(placed.withColumn("__in", (F.col("__size") > 0) & (F.col("__sum") <= F.col("__rest"))).drop("__s", "__b", "__base", "__bucket", "__buckets", "__n"), "mix-placed")
-    used = placed.groupBy("__source").agg(F.sum(F.when(F.col("__in"), F.col("__size")).otherwise(0)).alias("__used"))
-    gaps = goal.alias("g").join(used.alias("u"), F.col("g.__source").eqNullSafe(F.col("u.__source"))).select(F.col("g.__source").alias("__gs"), (F.col("__rest") - F.col("__used")).alias("__gap"))
-    gaps = staged(gaps, "mix-gaps")
-    spare = placed.where(~F.col("__in") & (F.col("__size") > 0)).join(side(gaps), F.col("__source").eqNullSafe(F.col("__gs")))
+    totals = beside(light, goal).groupBy("__source", "__rest", _bucket().alias("__bucket")).agg(F.sum("__size").alias("__total"))
+    upto = F.sum("__total").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = totals.withColumn("__upto", upto).where(F.col("__upto") > F.col("__rest"))
+    edges = over.groupBy("__source").agg(F.min(F.struct("__bucket", (F.col("__upto") - F.col("__total")).alias("base"))).alias("e"))
+    edges = edges.select(F.col("__source").alias("__s"), F.col("e.__bucket").alias("__edge"), F.col("e.base").alias("__base"))
+    edged = staged(goal.join(edges, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s"), "mix-edges")
+    order = Window.partitionBy("__source").orderBy("__key", "doc_id", "__size", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = beside(light, edged).where(_bucket() == F.col("__edge")).withColumn("__upto", F.col("__base") + F.sum("__size").over(order)).where(F.col("__upto") <= F.col("__rest"))
+    last = last.groupBy("__source").agg(F.max(_place()).alias("__last"), F.max("__upto").alias("__used")).withColumnRenamed("__source", "__s")
+    gap = F.when(F.col("__edge").isNotNull(), F.col("__rest") - F.coalesce("__used", "__base")).otherwise(F.lit(0.0))
+    begun = edged.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("__gap", gap)
+    begun = staged(begun.drop("__used", "__base", "__rest"), "mix-begun")
+    discard(goal, edged)
     miss = F.abs(F.col("__size") - F.col("__gap"))
-    closing = spare.where(miss < F.col("__gap")).groupBy("__source").agg(F.min(F.struct(miss.alias("m"), F.col("__key").alias("k"), F.col("doc_id").alias("d"), F.col("__row").alias("r"))).alias("x"))
-    closing = closing.select(F.col("x.r").alias("__row"), F.lit(True).alias("__closes"))
-    copies = F.col("__epochs") * (F.col("__size") > 0).cast("long") + (F.col("__in") | F.coalesce(F.col("__closes"), F.lit(False))).cast("long")
-    return placed.join(side(closing), "__row", "left").withColumn("__copies", copies)
+    spare = beside(light, begun).where((F.col("__size") > 0) & (miss < F.col("__gap"))).where(~_within())
+    closing = spare.groupBy("__source").agg(F.min(F.struct(miss.alias("m"), F.col("__key").alias("k"), F.col("doc_id").alias("d"), F.col("__row").alias("r"))).alias("x"))
+    closing = closing.select(F.col("__source").alias("__s"), F.col("x.r").alias("__closing"))
+    plan = staged(begun.join(closing, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__gap"), "mix-plan")
+    discard(begun)
+    return plan
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (__row, doc_id, source, __size, __key and any others) with source_size, target and __copies.
+
+    Nothing but the plan is looked up, so rows stay where they are.
+    """
+    closes = F.coalesce(F.col("__row") == F.col("__closing"), F.lit(False))
+    copies = F.col("__epochs") * (F.col("__size") > 0).cast("long") + (_within() | closes).cast("long")
+    return beside(rows, plan).withColumn("__copies", copies).drop("__source", "__epochs", "__buckets", "__edge", "__last", "__closing")
 
 
 def weighed(docs: DataFrame, seed: int = SEED, quality: Column | None = None) -> DataFrame:
@@ -146,18 +180,16 @@ def weighed(docs: DataFrame, seed: int = SEED, quality: Column | None = None) ->
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, quality: Column | None = None, **options) -> DataFrame:
     """``docs`` as the mix takes them: each as many times as it is taken."""
-    names = docs.columns
     base = staged(weighed(docs, quality=quality), "mix-docs")
-    light = base.select("__row", "doc_id", "source", "__size", "__key")
-    copies = staged(choose(light, weights, **options).where("__copies > 0").select("__row", "__copies"), "mix-copies")
-    taken = copies.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    return base.join(taken, "__row").select(*names)
+    plan = choose(base.select("__row", "doc_id", "source", "__size", "__key"), weights, **options)
+    taken = with_copies(base, plan.drop("source_size", "target")).where("__copies > 0")
+    return taken.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     light = staged(weighed(docs).drop("text"), "mix-light")
-    chosen = choose(light)
+    chosen = with_copies(light, choose(light))
     return chosen.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__copies") * F.col("__size")).alias("taken"))
 
 

@@ -269,8 +269,8 @@ def test_mix_keeps_its_budget(spark):
     rows = [(i if i % 7 else 3, " ".join(["word"] * int(rng.integers(1, 9))), "abc"[min(2, int(rng.integers(0, 12)) // 5)]) for i in range(3000)]
     docs = staged(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), "mix")
     light = staged(mixing.weighed(docs).drop("text"), "light")
-    chosen = mixing.choose(light).collect()
-    again = mixing.choose(light).collect()
+    chosen = mixing.with_copies(light, mixing.choose(light)).collect()
+    again = mixing.with_copies(light, mixing.choose(light)).collect()
     assert sorted((r["__row"], r["__copies"]) for r in chosen) == sorted((r["__row"], r["__copies"]) for r in again)
     size, taken, target = Counter(), Counter(), {}
     for r in chosen:

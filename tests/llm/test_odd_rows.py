@@ -62,7 +62,7 @@ def test_mixing(docs, nothing):
     out = mixing.mix_documents(docs)
     assert out.columns == docs.columns and out.where("text is null or text = ''").isEmpty()
     light = staged(mixing.weighed(docs.select("doc_id", "text", "source")).drop("text"), "light")
-    rows = mixing.choose(light).collect()
+    rows = mixing.with_copies(light, mixing.choose(light)).collect()
     assert len(rows) == len(ROWS) and all(r["__copies"] <= 2 for r in rows)
     assert mixing.mix_documents(nothing).count() == 0
 
