@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_WORD, SLICE_BYTES, WordHasher, mix64, pieces, staged, table, text_slices, word_spans
+from .common import _IS_WORD, BROADCAST_ROWS, SLICE_BYTES, WordHasher, discard, looked_up, mix64, pieces, staged, table, text_slices, word_spans
 
 WORDS = 5
 #: Frequent shingles that are ordered last; the list is bounded and sent to the workers.
@@ -47,9 +47,7 @@ LOCAL_COUNT, FLUSH = 12, 3_000_000
 #: Classes that a worker remembers, lest it repeats itself for copies.
 SEEN_CLASSES = 500_000
 #: Members of a tile that are compared in one piece.
-TILE_ROWS = 2048
-#: Classes up to which their representatives are looked up by a broadcast.
-BROADCAST_CLASSES = 200_000
+TILE_ROWS = 256
 
 _hasher = WordHasher(7)
 RUN_STEP = 1 << 18
@@ -190,7 +188,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """key, cls, hot: the first shingles of every class, once a task, and whether ``hot`` has them."""
+    """key, cls: the first shingles of every class, once a task; those that ``hot`` lists come last in the order."""
     order, rank = np.sort(hot[:, 0].view(np.uint64)) if len(hot) else np.zeros(0, np.uint64), None
     if len(hot):
         rank = hot[np.argsort(hot[:, 0].view(np.uint64)), 1]
@@ -199,52 +197,46 @@ def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, at in text_slices(batch.column(1)):
-                keys, names, marks = [], [], []
+                keys, names = [], []
                 for own in shingle_sets(data, at):
                     if not len(own) or (name := class_of(own)) in seen:
                         continue
                     seen.add(name)
                     length = prefix_length(len(own))
-                    n_rare = len(own)
                     if len(order):
                         where = np.minimum(np.searchsorted(order, own), len(order) - 1)
                         common = order[where] == own
                         rare = own[~common]
-                        n_rare = len(rare)
-                        if n_rare < length:
+                        if len(rare) < length:
                             late = own[common][np.argsort(rank[where[common]], kind="stable")]
                             rare = np.concatenate([rare, late])
                         own = rare
                     keys.append(own[:length])
                     names.append(np.full(len(keys[-1]), name, np.int64))
-                    marks.append(np.arange(len(keys[-1])) >= n_rare)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(marks))], names=["key", "cls", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "cls"])
                 if len(seen) > SEEN_CLASSES:
                     seen.clear()
 
-    return docs.mapInArrow(post, "key long, cls long, hot boolean")
+    return docs.mapInArrow(post, "key long, cls long")
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
     """cls, lo: the postings of keys that two classes share, with the least of the key's classes.
 
-    A key that isn't in the bounded list of frequent shingles is rare in every part of the input,
-    so its rows may meet in one task; they are shuffled once.  Frequent keys are summed up before
-    the shuffle and their least classes, at most one row for each of the list, are broadcast.
+    Keys are summed up before they are shuffled, so no key's rows meet in one task; those that are
+    shared are staged and joined back, and both sides of that join are shuffled rows, which Spark
+    splits where a key is hot.
     """
-    of = Window.partitionBy("key")
-    cold = postings.where("not hot").select("key", "cls").withColumns({"lo": F.min("cls").over(of), "hi": F.max("cls").over(of)}).where("lo <> hi").select("cls", "lo")
-    frequent = postings.where("hot")
-    least = frequent.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "lo")
-    return cold.unionByName(frequent.select("key", "cls").join(F.broadcast(least), "key").select("cls", "lo"))
+    least = staged(postings.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key", "lo"), "shared-keys")
+    return looked_up(postings, least, "key").select("cls", "lo")
 
 
 def sets_of(docs: DataFrame, speakers: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """cls, shingles of the ``wanted`` classes, read from the document that speaks for each."""
     mine = staged(speakers.join(wanted, "cls"), f"{name}-speakers")
-    if mine.count() <= BROADCAST_CLASSES:
-        mine = F.broadcast(mine)
+    if mine.count() <= BROADCAST_ROWS:
+        mine = F.broadcast(mine)  # two numbers a class
     said = docs.alias("d").join(mine.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("d.text"), F.col("s.cls"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,22 +278,27 @@ def verified(pairs: DataFrame, bitmaps: DataFrame, speakers: DataFrame, docs: Da
     near = staged(near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(bound, "a long, b long"), f"{name}-bounded")
     wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets = sets_of(docs, speakers, wanted, name)
-    return staged(near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"), f"{name}-links")
+    links = staged(near.join(side(sets, "a"), "a").join(side(sets, "b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"), f"{name}-links")
+    discard(near, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable.  Labels fall to a neighbour's, then to their own label's."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "cc-edges")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "cc-labels")
+    earlier = [labels]
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
         lower = labels.join(heard, labels.node == heard.a).select("node", "label", F.least("label", "heard").alias("low"))
         lower = staged(lower, "cc-lower")
         up = lower.select(F.col("node").alias("p"), F.col("low").alias("up"))
         after = staged(lower.join(up, lower.low == up.p).select("node", F.col("up").alias("new"), "label"), "cc-labels")
-        moved = after.where("new <> label").isEmpty()
-        labels = after.select("node", F.col("new").alias("label"))
-        if moved:
+        still = after.where("new <> label").isEmpty()
+        discard(lower, *earlier)
+        earlier, labels = [after], after.select("node", F.col("new").alias("label"))
+        if still:
+            discard(both)
             return labels
 
 
@@ -316,8 +313,8 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame
     banded = members.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     kin = F.col("own") == F.col("band")
     counted = banded.groupBy("lo", "band").agg(F.count("*").alias("t"), F.sum(kin.cast("int")).alias("k"), F.min("label").alias("x"), F.max("label").alias("y"))
-    counted = counted.where("t > 1 and k > 0 and x <> y").select("lo", "band", "t")
-    cut = banded.join(counted, ["lo", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
+    counted = staged(counted.where("t > 1 and k > 0 and x <> y").select("lo", "band", "t"), "bands")
+    cut = looked_up(banded, counted, ["lo", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("s").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     tiles = cut.withColumn("block", block).withColumn("x", F.explode(others)).select("lo", "band", "x.i", "x.j", "block", "own", "cls", "label", "n", "sig")
@@ -367,7 +364,9 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """node, label of the classes that have links; None if none has."""
     hot = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "shingle").limit(HOT_SHINGLES).collect()
     frequent = np.array([(r["shingle"], r["k"]) for r in hot], np.int64).reshape(-1, 2)
-    tiles = staged(shared_postings(staged(_postings(docs, frequent), "postings")).select("lo", "cls").distinct(), "tiles")
+    postings = staged(_postings(docs, frequent), "postings")
+    tiles = staged(shared_postings(postings).select("lo", "cls").distinct(), "tiles")
+    discard(postings)
     stars = staged(tiles.where("cls <> lo").groupBy("cls").agg(F.min("lo").alias("a")).withColumnRenamed("cls", "b"), "stars")
     if stars.isEmpty():
         return None
@@ -377,6 +376,7 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     links = verified(stars, bitmaps, speakers, docs, "stars")
     label = None if links.isEmpty() else components(links)
     sized = staged(tiles.join(bitmaps.select("cls", "n"), "cls"), "sized-tiles")
+    discard(tiles, stars)
     todo = sized
     for best in (True, False):
         if label is None:
@@ -384,9 +384,10 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         else:
             named = todo.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         # one component needs no more links
-        apart = named.groupBy("lo").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lo")
-        members = staged(named.join(apart, "lo").select("lo", "cls", "label", "n"), "members")
+        apart = staged(named.groupBy("lo").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lo"), "tiles-apart")
+        members = staged(looked_up(named, apart, "lo").select("lo", "cls", "label", "n"), "members")
         more = staged(_tile_pairs(members, bitmaps, best), "tile-pairs")
+        discard(apart, members)
         if more.isEmpty():
             break
         found = verified(more.select("a", "b").distinct(), bitmaps, speakers, docs, "tiles")
@@ -394,10 +395,12 @@ def similar_classes(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
             links = links.unionByName(found)
             label = components(links)
         # elsewhere every possible pair has been decided
-        rest = more.where("rest is not null").select(F.col("rest").alias("lo")).distinct()
+        rest = staged(more.where("rest is not null").select(F.col("rest").alias("lo")).distinct(), "tiles-left")
+        discard(more)
         if rest.isEmpty():
             break
-        todo = sized.join(rest, "lo")
+        todo = looked_up(sized, rest, "lo")
+    discard(bitmaps, sized)
     return label
 
 
@@ -415,7 +418,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
         first = joined.join(lowest, "label").select("cls", "component_id")
     else:
         first = first.withColumnRenamed("least", "component_id")
-    return members.join(first, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = staged(first, "class-components")
+    return looked_up(members, first, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
