@@ -16,8 +16,7 @@ one class (named by 64 bits of its content), so copies meet once.
    bitmaps of parities, at least three fifths as wide as the set; sets differ in no fewer shingles
    than their bitmaps do in bits, and that bounds the overlap from above.  First each class's
    likeliest partner is tried; tiles in which a class had others are read again, for every pair
-   that is still apart and possible.  Tiles beyond ``TILE_ROWS`` members are cut into pairs of
-   blocks.
+   that is still apart and possible.  Larger tiles are cut into pairs of blocks.
 4. Surviving pairs are decided exactly on the sorted sets: 100 * intersection >= 80 * union.
 
 Pairs within a component that links already join aren't compared again, so a group of n copies
@@ -34,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _IS_WORD, BROADCAST_ROWS, SLICE_BYTES, WordHasher, discard, looked_up, mix64, pieces, staged, table, text_slices, word_spans
@@ -46,8 +45,9 @@ HOT_SHINGLES = 30_000
 LOCAL_COUNT, FLUSH = 12, 3_000_000
 #: Classes that a worker remembers, lest it repeats itself for copies.
 SEEN_CLASSES = 500_000
-#: Members of a tile that are compared in one piece.
-TILE_ROWS = 256
+#: Members of a tile's block, blocks up to which blocks stay that small, and members of a block beyond:
+#: every member is compared with each block, so a large tile is cut into fewer, larger ones.
+TILE_ROWS, TILE_BLOCKS, MOST_ROWS = 256, 64, 8192
 
 _hasher = WordHasher(7)
 RUN_STEP = 1 << 18
@@ -302,6 +302,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def pieces_of(members: Column) -> Column:
+    """Into how many blocks a tile of so many members is cut."""
+    return F.least(F.ceil(members / TILE_ROWS), F.greatest(F.lit(TILE_BLOCKS), F.ceil(members / MOST_ROWS)))
+
+
 def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame:
     """a, b, rest: pairs of different components in a tile that the bitmaps leave possible.
 
@@ -314,7 +319,7 @@ def _tile_pairs(members: DataFrame, bitmaps: DataFrame, best: bool) -> DataFrame
     kin = F.col("own") == F.col("band")
     counted = banded.groupBy("lo", "band").agg(F.count("*").alias("t"), F.sum(kin.cast("int")).alias("k"), F.min("label").alias("x"), F.max("label").alias("y"))
     counted = staged(counted.where("t > 1 and k > 0 and x <> y").select("lo", "band", "t"), "bands")
-    cut = looked_up(banded, counted, ["lo", "band"]).withColumn("s", F.ceil(F.col("t") / TILE_ROWS).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
+    cut = looked_up(banded, counted, ["lo", "band"]).withColumn("s", pieces_of(F.col("t")).cast("int")).join(bitmaps.select("cls", "sig"), "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("s").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     tiles = cut.withColumn("block", block).withColumn("x", F.explode(others)).select("lo", "band", "x.i", "x.j", "block", "own", "cls", "label", "n", "sig")

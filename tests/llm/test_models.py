@@ -236,7 +236,11 @@ def test_topk_scores_few_rows():
         assert set(np.flatnonzero(scores >= np.sort(scores)[-10])) <= set(maybe.tolist())
 
 
-def test_links_of_a_hot_group_equal_brute_force(spark):
+@pytest.mark.parametrize("rows, blocks", [(256, 64), (8, 64), (4, 3)])
+def test_links_of_a_hot_group_equal_brute_force(spark, monkeypatch, rows, blocks):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "TILE_BLOCKS", blocks)
+    monkeypatch.setattr(ngram_join, "MOST_ROWS", 40)
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [rng.choice(vocabulary, 120).tolist() for _ in range(3)]
