@@ -41,13 +41,14 @@ def ingest(spark: SparkSession, raw: str, staging: str, codec: Callable = media.
     there.  ``rejects`` has label, stage and reason; a pair stops at its first failing image check.
     """
     metas = ordered.empty_input(pairs.scan_raw(spark, raw), raw)
-    both = pairs.assemble(metas, pairs.scan_images(spark, raw), ["clinic", "folder"])
+    files = pairs.image_files(spark, raw)
+    both = pairs.assemble(metas, pairs.scan_images(files), ["clinic", "folder"])
     read = validation.validated(both).withColumns(_governed(F.col("meta"))).withColumn("label", text.label(F.col("clinic"), F.col("folder")))
     read = written(read.select("label", "clinic", "folder", "meta_json", "errors", "accepted", "consent_ref", "adult_attested", *STEMS), "ingest-read")
     sound = read.where("accepted")
     usable = written(ordered.ordered_paths(validation.consent_gate(sound, F.col("consent_ref"), parity, consents, F.col("adult_attested")), "clinic", "folder"), "ingest-usable")
     listed = usable.select("label", F.explode(F.array(*[F.struct(F.lit(s).alias("stem"), F.col(s).alias("path")) for s in STEMS])).alias("x")).select("label", "x.*")
-    images = written(media.reencoded(pairs.image_contents(spark, raw, written(listed, "ingest-listed")), codec), "ingest-images")
+    images = written(media.reencoded(pairs.image_contents(files, written(listed, "ingest-listed")), codec), "ingest-images")
     side = lambda s, *names: images.where(F.col("stem") == s).select("label", *[F.col(n).alias(f"{s}_{n}") for n in names])
     told = usable.select("label", "ord")
     for s in STEMS:

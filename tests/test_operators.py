@@ -192,7 +192,7 @@ def test_folders(spark, tmp_path):
     (tmp_path / "raw/c1/p2").mkdir()
     metas = pairs.scan_raw(spark, str(tmp_path / "raw"))
     assert metas.count() == 2
-    both = pairs.assemble(metas, pairs.scan_images(spark, str(tmp_path / "raw")), ["clinic", "folder"])
+    both = pairs.assemble(metas, pairs.scan_images(pairs.image_files(spark, str(tmp_path / "raw"))), ["clinic", "folder"])
     checked = validation.validated(both).withColumn("pair_id", F.lit("p1"))
     rows = {r["clinic"]: r for r in checked.collect()}
     assert rows["c1"]["before"].endswith("before.jpg") and rows["c1"]["accepted"]
