@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import dealt, shared_dir
 
 _MIMES = ("image/jpeg", "image/png", "image/webp", "image/gif")
 
@@ -128,10 +129,15 @@ def write_images(rows: DataFrame, root: str) -> str:
         from pyarrow import fs
 
         system, top = fs.FileSystem.from_uri(root)
+        local, made = isinstance(system, fs.LocalFileSystem), None
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                system.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(f"{top}/{path}") as out:
+                end = f"{top}/{path}"
+                folder = end.rsplit("/", 1)[0]
+                if folder != made:
+                    os.makedirs(folder, exist_ok=True) if local else system.create_dir(folder, recursive=True)
+                    made = folder
+                with open(end, "wb") if local else system.open_output_stream(end) as out:
                     out.write(bytes(content))
             yield pd.DataFrame({"n": [len(batch)]})
 
@@ -181,7 +187,7 @@ def raw_folders(spark: SparkSession, sf_dir: str) -> str:
                     out.append((f"{at}/after.png", raw_image(9 + k % 4, 8 + k % 8, (k * 7 + 3) % 31, k % 6 != 0)))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return write_images(rows.mapInPandas(files, "path string, content binary"), f"{shared_dir(spark)}/quillstone/raw-{uuid.uuid4().hex}")
+    return write_images(dealt(rows).mapInPandas(files, "path string, content binary"), f"{shared_dir(spark)}/quillstone/raw-{uuid.uuid4().hex}")
 
 
 def png_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -198,7 +204,7 @@ def png_folder(spark: SparkSession, sf_dir: str) -> str:
                 out.append((f"{k}.png", b"junk" if k % 13 == 0 else whole))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    rows = table(spark, sf_dir, "part").select("p_partkey").mapInPandas(files, "path string, content binary")
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey")).mapInPandas(files, "path string, content binary")
     return write_images(rows, f"{shared_dir(spark)}/quillstone/png-{uuid.uuid4().hex}")
 
 

@@ -40,7 +40,7 @@ def ingest(spark: SparkSession, raw: str, staging: str, codec: Callable = media.
     Metadata is parsed once, in a stage of its own, so that no image is read for a pair that fails
     there.  ``rejects`` has label, stage and reason; a pair stops at its first failing image check.
     """
-    metas = ordered.empty_input(pairs.scan_raw(spark, raw), raw)
+    metas = ordered.empty_input(written(pairs.scan_raw(spark, raw), "ingest-metas"), raw)
     files = pairs.image_files(spark, raw)
     both = pairs.assemble(metas, pairs.scan_images(files), ["clinic", "folder"])
     read = validation.validated(both).withColumns(_governed(F.col("meta"))).withColumn("label", text.label(F.col("clinic"), F.col("folder")))

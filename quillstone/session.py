@@ -30,6 +30,11 @@ def looked_up(rows: DataFrame, few: DataFrame, on: str | list[str], how: str = "
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in equal shares, a few for each core: for work that takes long for its few bytes, such as a file for each row."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quillstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
